@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyweave.llm.chat_events import OP8_SQL, op8_chat_events
+from tallyweave.llm.decontaminate import op5_benchmark_alignment
+from tallyweave.llm.exact_dedup import OP4_SQL, op4_exact_duplicates
+from tallyweave.llm.license_rules import op9_licence_rules, op9_sql
 from tallyweave.llm.odd_sketch import op7_near_duplicates
+from tallyweave.llm.rule_ensemble import op10_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_near_duplicates": op7_near_duplicates}
+    own = (op4_exact_duplicates, op5_benchmark_alignment, op7_near_duplicates, op8_chat_events, op9_licence_rules, op10_quality_rules)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_duplicates": OP4_SQL, "op8_chat_events": OP8_SQL, "op9_licence_rules": op9_sql()}
