@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tallyweave.llm.chat_events import OP8_SQL, op8_chat_events
 from tallyweave.llm.decontaminate import op5_benchmark_alignment
 from tallyweave.llm.exact_dedup import OP4_SQL, op4_exact_duplicates
@@ -33,7 +34,7 @@ OPERATORS = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in OPERATORS}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

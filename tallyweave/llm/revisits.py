@@ -126,7 +126,7 @@ WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, page_id * 86400 AS t
      v AS (SELECT page_id + 1000000000000 AS capture_id, page_id, url_key, t0 + CASE WHEN page_id % 4 = 3 THEN -3600 ELSE 3600 END AS ts,
                   CASE WHEN page_id % 4 IN (0, 3) THEN etag WHEN page_id % 4 = 2 THEN '"other"' END AS tag,
                   CASE WHEN page_id % 4 = 1 THEN day END AS modified FROM k),
-     j AS (SELECT v.*, s.page_id AS sid, s.etag AS stag, s.day AS sday, octet_length(s.html::BLOB) AS size FROM v ASOF LEFT JOIN k s ON v.url_key = s.url_key AND v.ts >= s.t0),
+     j AS (SELECT v.*, s.page_id AS sid, s.etag AS stag, s.day AS sday, strlen(s.html) AS size FROM v ASOF LEFT JOIN k s ON v.url_key = s.url_key AND v.ts >= s.t0),
      d AS (SELECT *, CASE WHEN sid IS NULL THEN 'orphan' WHEN tag IS NOT NULL THEN CASE WHEN tag = stag THEN 'resolved' ELSE 'stale' END
                           WHEN modified = sday THEN 'resolved' ELSE 'stale' END AS status FROM j)
 SELECT capture_id, url_key, status, CASE WHEN status = 'resolved' THEN sid END AS source_id,
