@@ -212,8 +212,9 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't rejected; rows without a text stay."""
-    scored = train(docs, labels).scored(docs)
-    return scored.filter(F.coalesce(accepted(), F.lit(True))).select(*(named(scored, c) for c in docs.columns))
+    # the row number keeps the filter above the scores: pushed below them, it would hold every rule's statistics over again
+    scored = train(docs, labels).scored(docs).withColumn("_tw_row", F.monotonically_increasing_id())
+    return scored.filter(F.coalesce(accepted(), F.lit(True)) & (F.col("_tw_row") >= 0)).select(*(named(scored, c) for c in docs.columns))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
