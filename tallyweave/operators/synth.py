@@ -63,7 +63,7 @@ def scripted(answers: dict[str, object], otherwise: Provider) -> Provider:
         if codes and not set(given) <= set(codes):
             raise ValueError(f"{name}: {answers[name]} is not among its choices")
         low, high = numeric_bounds(question.get("constraint", ""))
-        if question["type"] in ("integer", "decimal") and not (low is None or float(answers[name]) >= low) | (high is None or float(answers[name]) <= high):
+        if question["type"] in ("integer", "decimal") and not ((low is None or float(answers[name]) >= low) and (high is None or float(answers[name]) <= high)):
             raise ValueError(f"{name}: {answers[name]} is out of bounds")
         return F.lit(answers[name])
 
