@@ -27,7 +27,7 @@ SAMPLE = 8192
 TREES, DEPTH, CUTS, LEAST_LEAF = 40, 3, 24, 8
 PENALTY, STEPS = 0.003, 400
 KEEP_QUALITY, DROP_TOXICITY = 0.5, 0.5
-TERM_SHARE, TERM_PRECISION, TERM_LEAST = 0.08, 0.9, 4
+TERM_SHARE, TERM_PRECISION, TERM_LEAST = 0.15, 0.9, 6
 MARKS = "%#$*&!|"
 FEATURES = ["n_words", "distinct_share", "repeat_share", "caps_share", "word_length", "marks_per_word", "stops_per_word", "line_repeat_share", "words_per_line", "flagged"]
 
