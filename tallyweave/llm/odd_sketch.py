@@ -1,6 +1,7 @@
 """Near-duplicate groups: MinHash bands find candidates, odd sketches verify them.
 
-Each document's word 3-gram set gives K = BANDS * ROWS MinHash samples. Bands of ROWS samples are the search keys.
+Each document's set of word SHINGLE-grams gives K = BANDS * ROWS MinHash samples. A document whose words were edited
+by a tenth still has a similarity of two thirds. Bands of ROWS samples are the search keys.
 The samples, taken as a set of (index, value) pairs, are folded into a bitmap of BITS parities: adding an element
 flips one bit, so the exclusive or of two bitmaps is the bitmap of their symmetric difference. With p the share of
 bits set in it, the difference has about -BITS/2 * ln(1 - 2p) elements, and the similarity is one minus that over 2K.
@@ -24,9 +25,7 @@ from tallyweave.llm.common import id_text, table, without_ids
 from tallyweave.llm.textgrams import FOLDED, between, blocks, mixed
 from tallyweave.operators.materialize import written
 
-SHINGLE, BANDS, ROWS, BITS, THRESHOLD = 3, 25, 5, 512, 0.65
-#: A bucket's pairs are compared in squares of this side, which bounds memory and nothing else.
-SQUARE = 2048
+SHINGLE, BANDS, ROWS, BITS, THRESHOLD = 2, 40, 5, 512, 0.6
 
 _rng = np.random.default_rng(20_240_607)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -101,35 +100,24 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _linked(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """For each document of a bucket the least id it is linked with through verified pairs. All pairs are looked at."""
-    parent = np.arange(len(ids))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for lo in range(0, len(ids), SQUARE):
-        for ro in range(lo, len(ids), SQUARE):
-            left, right = bits[lo : lo + SQUARE], bits[ro : ro + SQUARE]
-            apart = np.zeros((len(left), len(right)), dtype=np.uint16)
-            for k in range(BITS // 64):
-                apart += np.bitwise_count(left[:, k, None] ^ right[None, :, k])
-            close = apart <= MOST_BITS
-            if lo == ro:
-                close = np.triu(close, 1)
-            # each row needs one link to every component it touches; components shrink fast, so rows are folded in turn
-            for i in np.flatnonzero(close.any(axis=1)):
-                mates = np.flatnonzero(close[i]) + ro
-                r = root(lo + i)
-                for m in np.unique(parent[mates]):
-                    s = root(m)
-                    if s != r:
-                        parent[max(s, r)] = min(s, r)
-                        r = min(s, r)
-                parent[mates] = r
-    return ids[np.fromiter((root(i) for i in range(len(ids))), dtype=np.int64, count=len(ids))]
+    """For each document of a bucket, sorted by id, the least id that verified pairs link it with.
+
+    A search from the least id outwards: each document found is compared with those not found yet. That settles every
+    pair that matters to the links, in one sweep for a group whose members all resemble its first.
+    """
+    root, waiting = ids.copy(), np.arange(len(ids))
+    while len(waiting):
+        seed, waiting = waiting[0], waiting[1:]
+        front = [seed]
+        while front and len(waiting):
+            one = front.pop()
+            close = np.bitwise_count(bits[waiting] ^ bits[one]).sum(axis=1) <= MOST_BITS
+            if close.any():
+                found = waiting[close]
+                root[found] = ids[seed]
+                front.extend(found)
+                waiting = waiting[~close]
+    return root
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

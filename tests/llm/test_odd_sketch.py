@@ -6,7 +6,8 @@ from tests.llm.helpers import awkward, docs, edited, prose
 
 def shingles(text):
     w = text.lower().split()
-    return {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    n = odd_sketch.SHINGLE
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
 
 
 def jaccard(a, b):
@@ -33,7 +34,7 @@ def test_recall_and_precision_against_all_pairs(spark):
         base = prose(seed, 120)
         rows.append((k, base))
         k += 1
-        for j, share in enumerate((0.01, 0.03, 0.05, 0.25)):
+        for j, share in enumerate((0.01, 0.03, 0.08, 0.3)):
             rows.append((k, edited(base, seed * 10 + j, share)))
             k += 1
     sets = {i: shingles(t) for i, t in rows}
@@ -72,7 +73,7 @@ def test_empty_table(spark):
 
 def test_large_group_and_chain(spark):
     base = prose(8, 100)
-    rows = [(i, edited(base, i, 0.01)) for i in range(300)] + [(1000 + i, prose(100 + i, 80)) for i in range(20)] + [(2000, "one two"), (2001, "one two")]
+    rows = [(i, edited(base, i, 0.01)) for i in range(300)] + [(1000 + i, prose(100 + i, 80)) for i in range(20)] + [(2000, "one"), (2001, "One.")]
     got = {r["doc_id"]: r["kept_id"] for r in odd_sketch.near_duplicates(docs(spark, rows)).collect()}
     assert got == {i: 0 for i in range(1, 300)} | {2001: 2000}
 
@@ -83,14 +84,16 @@ def test_components(spark):
     assert got == groups(edges)
 
 
-def test_blocks_do_not_change_links():
+def test_links_are_the_components_of_all_pairs():
     rng = np.random.default_rng(0)
-    ids = np.arange(60)
-    bits = rng.integers(0, 1 << 63, (60, odd_sketch.BITS // 64), dtype=np.uint64)
-    bits[30:] = bits[:30]
-    want = odd_sketch._linked(ids, bits)
-    before, odd_sketch.SQUARE = odd_sketch.SQUARE, 7
-    try:
-        assert (odd_sketch._linked(ids, bits) == want).all() and (want[30:] == ids[:30]).all()
-    finally:
-        odd_sketch.SQUARE = before
+    for _ in range(20):
+        ids = np.arange(40)
+        bits = rng.integers(0, 1 << 63, (40, odd_sketch.BITS // 64), dtype=np.uint64)
+        for k in range(1, 40):  # some differ from an earlier one in about as many bits as are allowed
+            if rng.random() < 0.7:
+                flips = np.zeros(odd_sketch.BITS, dtype=np.uint8)
+                flips[rng.choice(odd_sketch.BITS, odd_sketch.MOST_BITS + rng.integers(-30, 3), replace=False)] = 1
+                bits[k] = bits[rng.integers(0, k)] ^ np.packbits(flips).view(np.uint64)
+        pairs = [(a, b) for a in range(40) for b in range(a) if np.bitwise_count(bits[a] ^ bits[b]).sum() <= odd_sketch.MOST_BITS]
+        want = groups(pairs)
+        assert odd_sketch._linked(ids, bits).tolist() == [want.get(i, i) for i in range(40)]
