@@ -56,3 +56,21 @@ def search_choices(df: DataFrame, table: DataFrame, value: str, label: str, matc
     out = out.join(sized(lists, 4096), [f"_m{k}" for k in range(len(matches))], "left") if matches else out.crossJoin(F.broadcast(lists))
     found = F.coalesce("_found", F.array().cast("array<struct<value:string,label:string>>"))
     return out.withColumn(name, F.concat(found, fixed) if fixed is not None else found).drop("_found", *(f"_m{k}" for k in range(len(matches))))
+
+
+class EmptyPool(ValueError):
+    """No case is left of a pool."""
+
+
+def case_pool(df: DataFrame, name: str, prefix: str | None, key: str | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """The cases whose name begins with ``prefix``, whatever its case, and whose key is in the one column of ``ids``.
+
+    It is an error if none is left, found by reading one row.
+    """
+    out = df.filter(F.upper(name).startswith(prefix.upper())) if prefix else df
+    if ids is not None:
+        wanted = ids.toDF("_id").distinct()
+        out = out.join(wanted, F.col(key) == F.col("_id"), "left_semi")
+    if out.isEmpty():
+        raise EmptyPool(f"no case begins with {prefix!r} and is in the list")
+    return out

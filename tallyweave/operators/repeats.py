@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.lang.values import Value, as_num, as_text, of_column, text
+from tallyweave.lang.compiler import Scope, compiled, predicate
+from tallyweave.lang.syntax import Call, Num, Ref, Text, parse, walk
+from tallyweave.lang.values import Value, as_num, as_text, num, of_column, text
 
 ABSENT_RANK = 999
 
@@ -91,3 +94,57 @@ def scoped(parents: DataFrame, child: DataFrame, keys: list[str], aggregates: di
     made = child.groupBy(*keys).agg(*(c.alias(n) for n, c in aggregates.items()))
     out = parents.join(made, keys, "left")
     return out.fillna(absent) if absent else out
+
+
+def _aggregate(node: Call, child: DataFrame, index: str, group: str | None) -> tuple[Column, Callable[[Column], Value]] | None:
+    """The aggregate of a call over instances, and how its joined column is a value; None if the call isn't about them."""
+    name, args = node.name, node.args
+    refs = [a for a in args if isinstance(a, Ref)]
+    if name == "count" and refs and refs[0].name == group:
+        return F.count("*"), lambda c: num(F.coalesce(c, F.lit(0)).cast("double"))
+    field = next((r.name for r in refs if r.name in child.columns), None)
+    if field is None:
+        return None
+    n, shown, idx = number(child, field), as_text(value_of(child, field)), F.col(index)
+    when = predicate(args[-1], Scope(child.schema)) if name.endswith("-if") else None
+    masked = n if when is None else F.when(when, n)
+    zero, blank = lambda c: num(F.coalesce(c.cast("double"), F.lit(0.0))), lambda c: text(F.coalesce(c, F.lit("")))
+    if name in ("count", "count-non-empty"):
+        return count_of(shown), zero
+    if name == "count-if":
+        return F.count_if(when), zero
+    if name in ("sum", "sum-if"):
+        return sum_of(masked), zero
+    if name in ("min", "min-if"):
+        return F.min(masked), num
+    if name in ("max", "max-if"):
+        return F.max(masked), num
+    if name in ("join", "join-if") and isinstance(args[0], Text):
+        return joined(idx, shown if when is None else F.when(when, shown), args[0].value), blank
+    if name == "indexed-repeat" and len(args) == 3 and isinstance(args[2], Num):
+        return indexed(idx, int(args[2].value), shown), blank
+    if name in ("rank-index", "rank-index-if") and isinstance(args[0], Num):
+        order = F.transform(F.array_sort(F.collect_list(F.when(masked.isNotNull(), F.struct((-masked).alias("n"), idx.cast("int").alias("i"))))), lambda s: s["i"])
+        at = F.array_position(order, int(args[0].value))
+        return F.when(at > 0, at), lambda c: num(F.coalesce(c.cast("double"), F.lit(float(ABSENT_RANK))))
+    return None
+
+
+def evaluated(parents: DataFrame, child: DataFrame, keys: list[str], index: str, sources: dict[str, str], group: str | None = None) -> DataFrame:
+    """``parents`` with a column for each expression, in which aggregates over ``child`` may stand anywhere.
+
+    All aggregates of all expressions are one grouped pass over the instances and one join; what they are part of is
+    then computed on the parent row. Without instances, counts and sums are 0, joins blank, min and max no number.
+    """
+    found: dict[Call, tuple[Column, Callable[[Column], Value]]] = {}
+    for source in sources.values():
+        for node in walk(parse(source)):
+            if isinstance(node, Call) and node not in found and (made := _aggregate(node, child, index, group)):
+                found[node] = made
+    if not found:
+        scope = Scope(parents.schema)
+        return parents.withColumns({k: compiled(s, scope).col for k, s in sources.items()})
+    made = child.groupBy(*keys).agg(*(c.alias(f"_agg{k}") for k, (c, _) in enumerate(found.values())))
+    df = parents.join(made, keys, "left")
+    scope = Scope(df.schema, related={node: as_value(F.col(f"_agg{k}")) for k, (node, (_, as_value)) in enumerate(found.items())})
+    return df.withColumns({k: compiled(s, scope).col for k, s in sources.items()}).drop(*(f"_agg{k}" for k in range(len(found))))

@@ -57,24 +57,23 @@ def choices_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH names(c_name) AS (SELECT c_name FROM customer WHERE c_custkey % 100 = 1 UNION ALL SELECT 'nobody ' || c_custkey FROM customer WHERE c_custkey % 500 = 3)
+WITH names(c_name) AS (SELECT c_name FROM customer UNION ALL SELECT s_name FROM supplier)
 SELECT n.c_name, c.c_custkey, c.c_mktsegment, c.c_custkey IS NOT NULL AS found FROM names n LEFT JOIN customer c USING (c_name)
 """)
 def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    wanted = c.filter("c_custkey % 100 = 1").select("c_name").unionByName(c.filter("c_custkey % 500 = 3").select(F.concat(F.lit("nobody "), F.col("c_custkey").cast("string")).alias("c_name")))
-    return search.lookup(wanted, c.select("c_name", "c_custkey", "c_mktsegment"), "c_name", "c_custkey")
+    """Every customer is found by name, no supplier is."""
+    c = table(spark, sf_dir, "customer").select("c_name", "c_custkey", "c_mktsegment")
+    wanted = c.select("c_name").unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("c_name")))
+    return search.lookup(wanted, c, "c_name", "c_custkey")
 
 
 @query("""
-SELECT c_custkey, c_name FROM customer WHERE starts_with(upper(c_name), 'CUSTOMER') AND c_custkey IN (1, 2, 3, 5, 8, 13)
+SELECT c_custkey, c_name FROM customer WHERE starts_with(upper(c_name), 'CUSTOMER') AND c_custkey IN (SELECT s_suppkey FROM supplier)
 """)
 def case_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    return c.filter(F.upper("c_name").startswith("customer".upper()) & F.col("c_custkey").isin(1, 2, 3, 5, 8, 13)).select("c_custkey", "c_name")
-
-
-_WORDS = ("the", "and", "que")
+    """Cases by prefix, whatever its case, and by a list of ids."""
+    cases = lookup.case_pool(table(spark, sf_dir, "customer"), "c_name", "customer", "c_custkey", table(spark, sf_dir, "supplier").select("s_suppkey"))
+    return cases.select("c_custkey", "c_name")
 
 
 @query("""

@@ -105,3 +105,28 @@ def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT max(n) AS largest FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)")
 def repeat_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count().agg(F.max("count").alias("largest"))
+
+
+@query(f"""
+WITH l AS (SELECT *, {_IDX} AS idx FROM lineitem),
+     a AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q, sum(l_extendedprice) FILTER (WHERE l_discount > 0.05) AS cheap, max(l_tax) AS tax, string_agg(l_returnflag, '' ORDER BY idx) AS flags,
+                  max(CASE WHEN idx = 2 THEN l_linestatus END) AS second FROM l GROUP BY 1),
+     r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, idx) AS rank, idx FROM l)
+SELECT o_orderkey, round(coalesce(q, 0) / nullif(n, 0), 6) AS mean_quantity, coalesce(n, 0) > 3 AND coalesce(cheap, 0) > 0.5 * o_totalprice AS mostly_cheap, coalesce(flags, '') AS flags, coalesce(second, '') AS second,
+       coalesce(rank, 999)::DOUBLE AS first_rank, round(tax * 100, 6) AS top_tax
+FROM orders LEFT JOIN a ON a.l_orderkey = o_orderkey LEFT JOIN r ON r.l_orderkey = o_orderkey AND r.idx = 1
+""")
+def repeat_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions that mix aggregates over instances with the parent's own columns."""
+    li = _lines(spark, sf_dir)
+    child = li.select(F.col("l_orderkey").alias("o_orderkey"), "idx", *(c for c in li.columns if c not in ("l_orderkey", "idx")))
+    sources = {
+        "mean_quantity": "sum(${l_quantity}) div count(${line})",
+        "mostly_cheap": "count(${line}) > 3 and sum-if(${l_extendedprice}, ${l_discount} > 0.05) > 0.5 * ${o_totalprice}",
+        "flags": "join('', ${l_returnflag})",
+        "second": "indexed-repeat(${l_linestatus}, ${line}, 2)",
+        "first_rank": "rank-index(1, ${l_quantity})",
+        "top_tax": "max(${l_tax}) * 100",
+    }
+    out = repeats.evaluated(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), child, ["o_orderkey"], "idx", sources, group="line")
+    return out.select("o_orderkey", F.round("mean_quantity", 6).alias("mean_quantity"), "mostly_cheap", "flags", "second", "first_rank", F.round("top_tax", 6).alias("top_tax"))
