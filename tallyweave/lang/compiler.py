@@ -112,6 +112,44 @@ def gate(source: str | Node, scope: Scope) -> Column:
     return as_gate(compiled(source, scope))
 
 
+def implied(node: Node, scope: Scope) -> list[Column]:
+    """Plain comparisons of a column with a constant that must hold wherever the condition does.
+
+    The condition itself guards against nulls and NaN, which no scan understands; these a scan can use to skip data.
+    """
+    if isinstance(node, Op) and node.op == "and":
+        return implied(node.left, scope) + implied(node.right, scope)
+    if not isinstance(node, Op) or node.op not in ("=", "<", "<=", ">", ">="):
+        return []
+    left, op, right = node.left, node.op, node.right
+    if not isinstance(left, Ref):
+        left, op, right = right, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op), left
+    kind = next((f.dataType for f in scope.schema.fields if isinstance(left, Ref) and f.name == left.name), None)
+    if isinstance(kind, T.NumericType) and isinstance(right, Num):
+        if isinstance(kind, T.IntegralType):
+            if right.value != int(right.value):
+                return []
+            constant = F.lit(int(right.value)).cast(kind)
+        else:
+            constant = F.lit(right.value).cast(kind) if isinstance(kind, T.DoubleType) else None
+    elif isinstance(kind, T.StringType) and isinstance(right, Text) and right.value and op == "=":
+        constant = F.lit(right.value)
+    else:
+        return []
+    if constant is None:
+        return []
+    column = F.col(f"`{left.name}`")
+    return [{"=": column == constant, "<": column < constant, "<=": column <= constant, ">": column > constant, ">=": column >= constant}[op]]
+
+
+def where(df: DataFrame, source: str, scope: Scope | None = None) -> DataFrame:
+    """The rows for which a condition's gate is open, with what of it a scan can use given to the scan."""
+    scope = scope or Scope(df.schema)
+    for plain in implied(parse(source), scope):
+        df = df.filter(plain)
+    return df.filter(gate(source, scope))
+
+
 def safely(source: str, scope: Scope, default: Value) -> tuple[Value, str | None]:
     """The compiled value, or the default with what was wrong."""
     try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.lang.compiler import Scope, compiled, gate, predicate
+from tallyweave.lang.compiler import Scope, compiled, predicate, where
 from tallyweave.lang.values import as_num, as_text
 from tallyweave.operators import choices, gates
 from tallyweave.plans.registry import query, table
@@ -17,7 +17,7 @@ FROM lineitem WHERE l_quantity >= 10 AND l_returnflag = 'R' GROUP BY 1
 """)
 def gate_filter_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumn("flags", F.concat_ws(" ", "l_returnflag", "l_linestatus"))
-    open_ = li.filter(gate("${l_quantity} >= 10 and selected(${flags}, 'R')", Scope(li.schema)))
+    open_ = where(li, "${l_quantity} >= 10 and selected(${flags}, 'R')")
     return open_.groupBy(F.year("l_shipdate").alias("ship_year")).agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 

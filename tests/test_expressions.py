@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.lang.compiler import Scope, compiled, gate, predicate, safely
+from tallyweave.lang.compiler import Scope, compiled, gate, predicate, safely, where
 from tallyweave.lang.syntax import ExpressionError, parse, references, tokens
 from tallyweave.lang.values import as_text, text
 
@@ -88,3 +88,13 @@ def test_draws_follow_the_row_not_the_partitioning(spark):
 
     a, b = drawn(spark.range(50)), drawn(spark.range(50).repartition(7))
     assert a == b and len({r[1] for r in a}) == 50 and all(0 <= r[1] < 1 for r in a)
+
+
+def test_conditions_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, 5.0, "a"), (2, float("nan"), "a"), (3, None, "a"), (None, 9.0, "a"), (4, 9.0, None), (5, 9.0, "b")], "k int, x double, s string").write.parquet(path)
+    df = spark.read.parquet(path)
+    for source in ("${x} > 4 and ${s} = 'a'", "4 < ${x} and 'a' = ${s}", "${k} <= 2", "${x} = 9 and ${k} >= 4", "${k} < 2.5", "${x} > 4 or ${k} = 3", "${s} = '' and ${k} > 0"):
+        assert sorted(map(str, where(df, source).collect())) == sorted(map(str, df.filter(gate(source, Scope(df.schema))).collect()))
+    plan = where(df, "${x} > 4 and ${s} = 'a'").select("k")._jdf.queryExecution().toString()
+    assert "GreaterThan(x,4.0)" in plan and "EqualTo(s,a)" in plan
