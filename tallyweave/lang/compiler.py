@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.functions import library
-from tallyweave.lang.syntax import Call, ExpressionError, Minus, Name, Node, Num, Op, Ref, Self, Text, parse
+from tallyweave.lang.syntax import ORDERINGS, Call, ExpressionError, Minus, Name, Node, Num, Op, Ref, Self, Text, parse
 from tallyweave.lang.values import Value, as_bool, as_gate, as_num, as_text, boolean, equal, num, of_column, ordered, text
 
 
@@ -70,7 +70,7 @@ def _operation(op: str, a: Value, b: Value) -> Value:
         return boolean(equal(a, b))
     if op == "!=":
         return boolean(~equal(a, b))
-    if op in ("<", "<=", ">", ">="):
+    if op in ORDERINGS:
         return boolean(ordered(op, a, b))
     x, y = as_num(a), as_num(b)
     if op == "div":
@@ -119,11 +119,11 @@ def implied(node: Node, scope: Scope) -> list[Column]:
     """
     if isinstance(node, Op) and node.op == "and":
         return implied(node.left, scope) + implied(node.right, scope)
-    if not isinstance(node, Op) or node.op not in ("=", "<", "<=", ">", ">="):
+    if not isinstance(node, Op) or node.op not in ("=", *ORDERINGS):
         return []
     left, op, right = node.left, node.op, node.right
     if not isinstance(left, Ref):
-        left, op, right = right, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op), left
+        left, op, right = right, dict(zip(ORDERINGS, (">", ">=", "<", "<="))).get(op, op), left
     kind = next((f.dataType for f in scope.schema.fields if isinstance(left, Ref) and f.name == left.name), None)
     if isinstance(kind, T.NumericType) and isinstance(right, Num):
         if isinstance(kind, T.IntegralType):

@@ -9,9 +9,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from tallyweave.lang.syntax import Call, ExpressionError, Minus, Node, Num, Op, Ref, Self, Text, parse
+from tallyweave.lang.syntax import COMPARISONS, Call, ExpressionError, Minus, Node, Num, Op, Ref, Self, Text, parse
 
-NUMERIC_CODE = re.compile(r"^-?\d+(\.\d+)?$")
+NUMERIC_CODE = re.compile(r"-?[0-9]+(?:[.][0-9]+)?\Z")
 
 
 @dataclass
@@ -84,7 +84,7 @@ def _bool(n: Node, t: Target) -> str | None:
             return kept[0][0] if kept else None
         mark = "&" if n.op == "and" else "|"
         return f" {mark} ".join(f"({p})" if isinstance(s, Op) and s.op in ("and", "or") and s.op != n.op else p for p, s in kept)
-    if isinstance(n, Op) and n.op in ("=", "!=", "<", "<=", ">", ">="):
+    if isinstance(n, Op) and n.op in COMPARISONS:
         return _compare(n, t)
     if isinstance(n, Call):
         return _call_bool(n, t)
@@ -175,7 +175,7 @@ def _value(n: Node, t: Target) -> str | None:
         v = _value(n.value, t)
         return None if v is None else f"-{v}"
     if isinstance(n, Op):
-        if n.op in ("and", "or", "=", "!=", "<", "<=", ">", ">="):
+        if n.op in ("and", "or") or n.op in COMPARISONS:
             v = _bool(n, t)
             return None if v is None else f"({v})"
         a, b = _value(n.left, t), _value(n.right, t)

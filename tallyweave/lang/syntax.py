@@ -73,7 +73,9 @@ _LEX = re.compile(
     re.X,
 )
 _WORDS = ("and", "or", "div", "mod")
-_LEVELS = (("or",), ("and",), ("=", "!="), ("<", "<=", ">", ">="), ("+", "-"), ("*", "div", "mod"))
+ORDERINGS = tuple("< <= > >=".split())
+COMPARISONS = (*"= !=".split(), *ORDERINGS)
+_LEVELS = (("or",), ("and",), COMPARISONS[:2], ORDERINGS, ("+", "-"), ("*", "div", "mod"))
 
 
 def tokens(source: str) -> list[tuple[str, str]]:
@@ -169,7 +171,7 @@ def parse(source: str) -> Node:
 
 def references(*sources: str | None) -> list[str]:
     """The names in ``${}`` over several expressions, each once, in order."""
-    return list(dict.fromkeys(name.strip() for s in sources if s for name in re.findall(r"\$\{([^}]+)\}", s)))
+    return list(dict.fromkeys(name.strip() for s in sources if s for name in re.findall("[$][{]([^{}]+)[}]", s)))
 
 
 def children(node: Node) -> tuple:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NUMBER = r"^-?[0-9]+([.][0-9]+)?$"
-_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+_CLOCK = "[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?"
+_ISO = f"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ]{_CLOCK})?$"
 
 
 @dataclass(frozen=True)

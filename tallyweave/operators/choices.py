@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.lang.compiler import Scope, predicate
-from tallyweave.lang.syntax import Call, ExpressionError, Minus, Name, Num, Op, Text, parse, references
+from tallyweave.lang.syntax import COMPARISONS, Call, ExpressionError, Minus, Name, Num, Op, Text, parse, references
 from tallyweave.lang.values import of_column
 
 CHOICE = T.StructType([T.StructField("value", T.StringType()), T.StructField("label", T.StringType())])
-_STATIC_OPS = ("=", "!=", "<", "<=", ">", ">=", "and", "or")
+_STATIC_OPS = ("and", "or", *COMPARISONS)
 
 
 def choice_lists(choices: DataFrame, order: str = "ord") -> DataFrame:

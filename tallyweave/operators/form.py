@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tallyweave.lang.conditions import Target, condition_text, inherited
 from tallyweave.lang.syntax import references
 
-STRUCTURE = ("begin group", "end group", "begin repeat", "end repeat")
+STRUCTURE = tuple(f"{edge} {what}" for what in ("group", "repeat") for edge in ("begin", "end"))
 SELECTS = ("select_one", "select_multiple", "rank")
 NUMERIC = ("integer", "decimal", "range", "calculate", "calculate_here")
 #: Types and name prefixes that are no questions.

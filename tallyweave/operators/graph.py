@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators.materialize import written
 
-REFERENCE = "[$][{]([^}]+)[}]"
+REFERENCE = r"\$[{]([^}]+)[}]"
 KINDS = {"calculation": "calculates_from", "relevance": "gated_by", "group_relevances": "group_gated_by", "constraint": "constrained_by"}
 
 

@@ -9,7 +9,7 @@ from tallyweave.operators.materialize import BROADCAST_BYTES
 
 
 def normal_key(key: Column) -> Column:
-    """``42``, ``'42'``, ``42.0`` and ``' 42 '`` are one key; null is the empty key."""
+    """A whole number is one key however it is written (7, 7.0, blanks around it, as text or not); null is the empty key."""
     t = F.trim(F.coalesce(key.cast("string"), F.lit("")))
     n = t.try_cast("double")
     whole = t.rlike(r"^-?[0-9]+([.]0*)?$") & (F.abs(n) < 1e15)

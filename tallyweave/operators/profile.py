@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tallyweave.lang.values import NUMBER
 
 #: Special answer codes: what they mean and the letter they are recoded to.
-CODES = {-99: ("Don't know", ".d"), -88: ("Refused", ".r"), -77: ("Not applicable", ".n"), -66: ("Other", ".o")}
+CODES = {code: (meaning, f".{meaning[0].lower()}") for code, meaning in zip(range(-99, -65, 11), ("Don't know", "Refused", "Not applicable", "Other"))}
 #: Columns handled in one aggregate; wider ones would lose code generation.
 BATCH = 40
 

@@ -11,9 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyweave.lang.syntax import Call, ExpressionError, Minus, Node, Num, Op, Self, Text, parse, walk
+from tallyweave.lang.syntax import COMPARISONS, Call, ExpressionError, Minus, Node, Num, Op, Self, Text, parse, walk
 
-_TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "=", "!=": "!="}
+_TURNED = dict(zip(COMPARISONS, "= != > >= < <=".split()))
 
 
 def _constant(node: Node) -> float | None:
@@ -46,7 +46,10 @@ def _tree(constraint: str) -> Node | None:
         return None
 
 
-def _bounds(constraint: str, subject: object) -> tuple[float | None, float | None]:
+Range = tuple[float | None, float | None]
+
+
+def _bounds(constraint: str, subject: object) -> Range:
     tree = _tree(constraint)
     if tree is None or isinstance(tree, Op) and tree.op == "or" or any(isinstance(n, Call) and n.name == "if" for n in walk(tree)):
         return None, None
@@ -65,12 +68,12 @@ def _bounds(constraint: str, subject: object) -> tuple[float | None, float | Non
     return low, high
 
 
-def numeric_bounds(constraint: str) -> tuple[float | None, float | None]:
+def numeric_bounds(constraint: str) -> Range:
     """Least and greatest value by the clauses about ``.``; a strict bound moves by 1; with ``or`` or ``if`` unknown."""
     return _bounds(constraint, Self())
 
 
-def select_count_bounds(constraint: str) -> tuple[float | None, float | None]:
+def select_count_bounds(constraint: str) -> Range:
     """How many options may be chosen, by the clauses about count-selected(.)."""
     return _bounds(constraint, Call("count-selected", (Self(),)))
 

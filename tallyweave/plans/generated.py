@@ -15,7 +15,7 @@ _SHEET = [
     {"type": "select_multiple colors", "name": "colors", "constraint": "count-selected(.) <= 2"},
     {"type": "calculate", "name": "old", "calculation": "if(${age} > 60, 'old', 'young')"},
     {"type": "begin repeat", "name": "plot", "repeat_count": "${age} mod 3"},
-    {"type": "decimal", "name": "area", "constraint": ". >= 0 and . <= 5"},
+    {"type": "decimal", "name": "area", "constraint": ". > -1 and . <= 5"},
     {"type": "end repeat", "name": "plot"},
     {"type": "end group", "name": "main"},
 ]

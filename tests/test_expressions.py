@@ -11,15 +11,15 @@ from tallyweave.lang.values import as_text, text
 
 ROW = {
     "age": 34, "blank_n": None, "half": 2.5, "minus": -2.5, "name": "Ana Ruiz", "blank": "", "nil": None, "codes": "1 3 -99", "number_text": "2", "zero_text": "0", "false_text": "false",
-    "dob": "1990-06-15", "when": "2024-03-05T14:07:09", "yes": True, "nan": float("nan"),
+    "born": "1990-06-15", "when": "2024-03-05T14:07:09", "yes": True, "nan": float("nan"),
 }
-SCHEMA = "age int, blank_n int, half double, minus double, name string, blank string, nil string, codes string, number_text string, zero_text string, false_text string, dob string, `when` string, yes boolean, nan double"
+SCHEMA = "age int, blank_n int, half double, minus double, name string, blank string, nil string, codes string, number_text string, zero_text string, false_text string, born string, `when` string, yes boolean, nan double"
 
 CASES = [
     ("1 + 2 * 3", "7"), ("(1 + 2) * 3", "9"), ("-${age} + 4", "-30"), ("7 div 2", "3.5"), ("7 div 0", ""), ("-3 mod 2", "-1"), ("${half} * 2", "5"), ("1 < 2 and 2 < 1 or true()", "true"), (".5 + .5", "1"),
     ("${age} = 34", "true"), ("${number_text} = 2", "true"), ("${number_text} = '2.0'", "false"), ("${blank} = 0", "false"), ("${blank} = ''", "true"), ("${nil} = ''", "true"), ("${blank_n} = ''", "true"), ("${missing} = ''", "true"),
     ("${age} != 34", "false"), ("${blank_n} < 5", "false"), ("not(${blank_n} < 5)", "true"), ("${nan} > 5", "false"), ("${nan} = ${nan}", "true"), ("(0 div 0) = (0 div 0)", "false"), ("(1 div 0) = ''", "true"),
-    ("${dob} < '1991-01-01'", "true"), ("date(${dob}) < today()", "true"), ("int((today() - date(${dob})) div 365.25)", "35"),
+    ("${born} < '1991-01-01'", "true"), ("date(${born}) < today()", "true"), ("int((today() - date(${born})) div 365.25)", "35"),
     ("if(${age} > 30, 'old', 'young')", "old"), ("if(${blank}, 1, 2)", "2"), ("if(${zero_text}, 1, 2)", "1"), ("coalesce(${blank}, ${name})", "Ana Ruiz"), ("coalesce(0 div 0, 5)", ""), ("coalesce(${blank_n}, 5)", "5"),
     ("empty(0 div 0)", "false"), ("empty(${blank_n})", "true"), ("relevant(${name})", "true"), ("boolean(${false_text})", "true"), ("boolean-from-string('Yes')", "true"),
     ("selected(${codes}, '3')", "true"), ("selected(${codes}, 2)", "false"), ("selected(${codes}, -99)", "true"), ("count-selected(${codes})", "3"), ("selected-at(${codes}, 2)", "-99"), ("selected-at(${codes}, 9)", ""), ("count-selected(${blank})", "0"),

@@ -47,8 +47,8 @@ def test_frames(spark):
 
 
 def test_bounds():
-    assert sampling.numeric_bounds(". >= 0 and . <= 120") == (0, 120) and sampling.numeric_bounds("5 < . and . < 9") == (6, 8)
-    assert sampling.numeric_bounds(". > 1 or . < 0") == (None, None) and sampling.numeric_bounds("if(. > 1, true(), false())") == (None, None) and sampling.numeric_bounds("((") == (None, None)
+    assert sampling.numeric_bounds("3 <= . and . <= 77") == (3, 77) and sampling.numeric_bounds("5 < . and . < 9") == (6, 8)
+    assert sampling.numeric_bounds(". > 4 or . < 2") == (None, None) and sampling.numeric_bounds("if(. > 1, true(), false())") == (None, None) and sampling.numeric_bounds("((") == (None, None)
     assert sampling.select_count_bounds("count-selected(.) <= 5 and count-selected(.) >= 2") == (2, 5)
     assert sampling.text_max_length("string-length(.) <= 12") == 12
     assert sampling.exclusive_codes("if(selected(., '-99'), count-selected(.) = 1, true())") == ["-99"]
@@ -105,10 +105,10 @@ def test_scenarios(spark):
     assert [tuple(r) for r in scenarios.rejections(trace).collect()] == [("r", "c", "bad(", 1)]
 
 
-XML = """<h:html xmlns="http://www.w3.org/2002/xforms" xmlns:h="http://www.w3.org/1999/xhtml" xmlns:jr="http://openrosa.org/javarosa"><h:head><model>
+XML = """<page:html xmlns="http://www.w3.org/2002/xforms" xmlns:page="http://www.w3.org/1999/xhtml" xmlns:jr="http://openrosa.org/javarosa"><page:head><model>
 <instance><data><name/><plot jr:template=""><area/><kinds/></plot></data></instance>
-<bind nodeset="/data/name" type="string" relevant="1 = 1" required="true()"/><bind nodeset="/data/plot/area" type="decimal"/><bind nodeset="/data/extra" calculate="1"/></model></h:head>
-<h:body><input ref="/data/name"/><repeat nodeset="/data/plot"><input ref="/data/plot/area"/><select ref="/data/plot/kinds"><item><value>1</value></item><item><value>-99</value></item></select></repeat></h:body></h:html>"""
+<bind nodeset="/data/name" type="string" relevant="1 = 1" required="true()"/><bind nodeset="/data/plot/area" type="decimal"/><bind nodeset="/data/extra" calculate="1"/></model></page:head>
+<page:body><input ref="/data/name"/><repeat nodeset="/data/plot"><input ref="/data/plot/area"/><select ref="/data/plot/kinds"><item><value>1</value></item><item><value>-99</value></item></select></repeat></page:body></page:html>"""
 
 
 def test_contract(spark):
@@ -148,15 +148,15 @@ def test_workbooks(spark, tmp_path):
 
 
 def test_preload(spark, tmp_path):
-    (tmp_path / "towns.csv").write_text("region,name\n1,A\n1,B\n,C\n")
-    names, dynamic = preload.named_tables(["pulldata('towns', 'name', 'region', ${r})", "${a} = 1"], ["quick search('towns', 'matches', 'region', ${r})"])
-    assert names == {"towns"} and not dynamic
+    (tmp_path / "places.csv").write_text("region,name\n1,A\n1,B\n,C\n")
+    names, dynamic = preload.named_tables(["pulldata('places', 'name', 'region', ${r})", "${a} = 1"], ["quick search('places', 'matches', 'region', ${r})"])
+    assert names == {"places"} and not dynamic
     assert preload.named_tables(["pulldata(${t}, 'a', 'b', 'c')"]) == (set(), True)
-    t = preload.load(spark, [str(tmp_path)], names)["towns"]
+    t = preload.load(spark, [str(tmp_path)], names)["places"]
     assert [r["name"] for r in t.orderBy("_ord").collect()] == ["A", "B", "C"] and t.filter("region is null").count() == 1
     with pytest.raises(preload.MissingTables, match="gone"):
-        preload.load(spark, [str(tmp_path)], {"gone", "towns"})
-    assert preload.search_arguments("search('towns', 'matches', 'region', concat(${a}, ','))") == {"table": "towns", "matches": [("region", "concat(${a}, ',')")]}
+        preload.load(spark, [str(tmp_path)], {"gone", "places"})
+    assert preload.search_arguments("search('places', 'matches', 'region', concat(${a}, ','))") == {"table": "places", "matches": [("region", "concat(${a}, ',')")]}
     assert preload.search_arguments("minimal") is None
 
 
