@@ -86,3 +86,8 @@ def choice_list(choices: DataFrame, questions: DataFrame, name: str, shown: int
     using = questions.filter(F.col("choice_list") == name).groupBy(F.col("choice_list").alias("list_name")).agg(F.count("*").alias("n_variables"), F.slice(F.array_sort(F.collect_list("variable_name")), 1, shown).alias("variables"))
     negative = F.filter(F.transform("choices", lambda c: c["value"]), lambda v: v.startswith("-"))
     return options.join(using, "list_name", "left").select("list_name", "choices", negative.alias("special_codes"), F.coalesce("n_variables", F.lit(0)).alias("n_variables"), "variables")
+
+
+def surveys(table: DataFrame, column: str, part: str) -> DataFrame:
+    """The rows whose survey key contains ``part``, whatever its case; all of them if it is blank."""
+    return table.filter(F.lower(column).contains(part.lower())) if part else table

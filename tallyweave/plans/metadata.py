@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.operators import graph, resolve, search
+from tallyweave.lang.conditions import Target, condition_text
+from tallyweave.operators import graph, profile, resolve, search
 from tallyweave.plans.registry import query, table
+from tallyweave.sources import contract, sheets
 
 _LONG = "a_question_whose_name_goes_on_and_on"  # 36 characters, clipped to 32 in an export
 _QUESTIONS = ["plot_area", "income", "colors", "Mixed_Case", "mixed_case", "OnlyUpper", _LONG, "nested"]
@@ -148,3 +150,68 @@ SELECT doc_id, length(text) AS chars, len(list_filter(regexp_extract_all(replace
 """.replace("SELECT doc_id, length(text) AS chars, len(", "SELECT doc_id, len(").replace(" AS terms", "::INTEGER AS terms"))
 def tokenise_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(search.terms(F.col("text"))).alias("terms"))
+
+
+@query("""
+SELECT count(*) AS total, count(*) FILTER (WHERE p_size > 10) AS matched, count(*) FILTER (WHERE p_size <= 10) AS unmatched, count(*) FILTER (WHERE p_type LIKE '%BRASS') AS in_repeat,
+       count(*) FILTER (WHERE p_brand = 'Brand#11') AS with_choices, count(*) FILTER (WHERE p_size = 1) AS all_missing, count(*) FILTER (WHERE p_size / 50.0 >= 0.95) AS sparse
+FROM part
+""")
+def dictionary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    d = p.select((F.col("p_size") > 10).alias("matched"), F.col("p_type").endswith("BRASS").alias("in_repeat"), (F.col("p_brand") == "Brand#11").alias("has_choices"), (F.col("p_size") == 1).alias("all_missing"), (F.col("p_size") / 50).alias("missing_rate"))
+    return profile.dictionary_summary(d)
+
+
+@query("""
+SELECT 'l' || r_regionkey AS list_name, count(DISTINCT n_nationkey)::INTEGER AS n_choices, (SELECT count(*) FROM supplier JOIN nation b ON s_nationkey = b.n_nationkey WHERE b.n_regionkey = r_regionkey) AS n_variables
+FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey = 2 GROUP BY r_regionkey
+""")
+def choice_list_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    sheet = n.select(F.concat(F.lit("l"), "n_regionkey").alias("list_name"), F.col("n_nationkey").cast("string").alias("value"), F.col("n_name").alias("label"), F.col("n_nationkey").alias("ord"))
+    users = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("l"), "n_regionkey").alias("choice_list"), F.col("s_name").alias("variable_name"))
+    return search.choice_list(sheet, users, "l2").select("list_name", F.size("choices").alias("n_choices"), "n_variables")
+
+
+@query("""
+WITH c AS (SELECT DISTINCT n_name FROM nation WHERE contains(lower(n_name), 'nation_1') OR contains('nation_1', lower(n_name)) OR substr(lower(n_name), 1, 5) = 'natio')
+SELECT n_name FROM c ORDER BY abs(length(n_name) - 8), n_name LIMIT 5
+""")
+def suggest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.suggestions(table(spark, sf_dir, "nation"), "n_name", "NATION_1")
+
+
+@query("""
+SELECT n_nationkey, 'n_' || n_nationkey || ' > ' || n_regionkey || ' & !missing(n_' || n_nationkey || ') & (colors_' || n_nationkey || ' == 1 | missing(name))' AS condition FROM nation
+""")
+def condition_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skip logic of each nation's question as condition text; the metadata is small and printed on the driver."""
+    rows = []
+    for k, r in sorted(tuple(x) for x in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()):
+        source = f"${{n_{k}}} > {r} and (selected(${{colors}}, '{k}') or ${{name}} = '')"
+        rows.append((k, condition_text(source, Target({"colors": "select_multiple", "name": "text"}))))
+    return spark.createDataFrame(rows, "n_nationkey int, condition string")
+
+
+@query("""
+SELECT 'f' || n_nationkey || '_' || n_regionkey AS column_name, 'matched' AS status, '/data/g/f' || n_nationkey AS path, n_regionkey = 0 AS odd FROM nation WHERE n_regionkey > 0
+UNION ALL SELECT 'f' || n_nationkey || '_' || n_regionkey, 'unmapped', NULL, true FROM nation WHERE n_regionkey = 0
+UNION ALL SELECT 'meta-' || r_name, 'system', NULL, false FROM region
+""")
+def contract_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a compiled form in which each nation is a field of one repeat; instances count from 1."""
+    n = sorted(tuple(x) for x in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect())
+    names = [r[0] for r in table(spark, sf_dir, "region").select("r_name").collect()]
+    nodes = [contract.Node("/data/g", "g", [], True), *(contract.Node(f"/data/g/f{k}", f"f{k}", ["g"]) for k, _ in n)]
+    mapped = [contract.map_column(c, nodes) for c in [*(f"f{k}_{r}" for k, r in n), *(f"meta-{x}" for x in names)]]
+    return spark.createDataFrame([(m["column_name"], m["status"], m["path"], m["status"] == "unmapped") for m in mapped], "column_name string, status string, path string, odd boolean")
+
+
+@query("""
+SELECT 'town' AS list_name, s_suppkey::VARCHAR AS value, s_name AS label FROM supplier UNION SELECT 'zone', s_nationkey::VARCHAR, 'zone ' || s_nationkey FROM supplier WHERE s_nationkey > 3
+""")
+def external_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    zone = F.when(F.col("s_nationkey") > 3, F.col("s_nationkey"))
+    return sheets.external_choices(s.select(F.col("s_suppkey").alias("town_id"), F.col("s_name").alias("town_label"), zone.alias("zone_value"), F.concat(F.lit("zone "), "s_nationkey").alias("zone_label")))

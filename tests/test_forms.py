@@ -185,3 +185,10 @@ def test_shared_folder_is_the_sessions(spark):
     with materialize.session_conf(spark, spark__sql__shuffle__partitions="3", spark__tallyweave__none="1"):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
     assert spark.conf.get("spark.sql.shuffle.partitions") == before and spark.conf.get("spark.tallyweave.none", None) is None
+
+
+def test_the_clock_runs_on(spark):
+    f = form.compile_form([{"type": "calculate_here", "name": f"t{k}", "calculation": "once(duration())"} for k in range(3)])
+    for r in synth.generate(spark, f, {}, 50, 4)[0].collect():
+        t = [int(r[f"t{k}"]) for k in range(3)]
+        assert 0.04 * r["duration"] <= t[0] <= 0.21 * r["duration"] and t[0] < t[1] < t[2] < 0.6 * r["duration"]
