@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import id_text, table, without_ids
-from tallyweave.llm.textgrams import FOLDED, blocks
+from tallyweave.llm.textgrams import FOLDED, blocks, slices
 from tallyweave.operators.materialize import BROADCAST_BYTES, broadcast_if_small, written
 
 SEED, RARE_SHARE, LEAST_SCORE = 4, 0.001, 0.5
@@ -50,7 +50,7 @@ def benchmark_grams(items: DataFrame) -> DataFrame:
     """(gram, item_id, item_pos, item_words): ``items`` has (item_id, text)."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for b in blocks(batch.column(1).to_pylist(), FOLDED):
                 at, h = b.grams(SEED)
                 ids = batch.column(0).take(pa.array(b.doc[at] + b.first))
@@ -72,7 +72,7 @@ def gram_hits(docs: DataFrame, grams: DataFrame, n_grams: int) -> DataFrame:
         wanted = docs.sparkSession.sparkContext.broadcast(rows)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for b in blocks(batch.column(1).to_pylist(), FOLDED):
                 at, h = b.grams(SEED)
                 h = h.view(np.int64)
@@ -95,7 +95,7 @@ def gram_hits(docs: DataFrame, grams: DataFrame, n_grams: int) -> DataFrame:
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, seeds) to the best alignment of each (document, item) that reaches LEAST_SCORE."""
     out: dict[str, list] = {k: [] for k in ("doc_id", "item_id", "score", "end_word", "item_words")}
-    for batch in batches:
+    for batch in slices(batches):
         seeds = batch.column(2).to_pylist()
         for b in blocks(batch.column(1).to_pylist(), FOLDED):
             for d in range(b.n):

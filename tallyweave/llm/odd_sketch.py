@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tallyweave.llm.common import id_text, table, without_ids
-from tallyweave.llm.textgrams import FOLDED, between, blocks, mixed
+from tallyweave.llm.textgrams import FOLDED, between, blocks, mixed, slices
 from tallyweave.operators.materialize import written
 
 SHINGLE, BANDS, ROWS, BITS, THRESHOLD = 2, 40, 5, 512, 0.6
@@ -82,7 +82,7 @@ MOST_BITS = int(np.flatnonzero(similarity(np.arange(BITS // 2)) >= THRESHOLD)[-1
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weight = mixed(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    for batch in batches:
+    for batch in slices(batches):
         which, samples = minhashes(batch.column(1).to_pylist())
         if not len(which):
             continue

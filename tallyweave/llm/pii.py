@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyweave.llm.common import id_text, table
+from tallyweave.llm.textgrams import slices
 
 KINDS = ("email", "secret", "iban", "card", "ssn", "ip", "phone")
 
@@ -211,7 +212,7 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [(i, *f) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for f in identifiers(t)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)

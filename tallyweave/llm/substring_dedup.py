@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import id_text, table
-from tallyweave.llm.textgrams import SPACES, between, blocks, sliding_argmin
+from tallyweave.llm.textgrams import SPACES, between, blocks, slices, sliding_argmin
 from tallyweave.operators.materialize import broadcast_if_small, written
 
 MIN_WORDS, K = 50, 10
@@ -111,7 +111,7 @@ def runs(statistics: list[int], least: int) -> list[tuple[int, int]]:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["anchor", "context", "doc_id", "lo", "hi"]
     reach, window = MIN_WORDS - K, MIN_WORDS - K + 1
-    for batch in batches:
+    for batch in slices(batches):
         for b in blocks(batch.column(1).to_pylist(), SPACES):
             at, h = b.grams(K)
             if len(at) < window:
@@ -131,7 +131,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, [(anchor, los, n)]) to (anchor, doc_id, los, words): the contexts, cut out of their text."""
-    for batch in batches:
+    for batch in slices(batches):
         out: tuple[list, list, list, list] = ([], [], [], [])
         for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
             words = _words(text)
@@ -214,7 +214,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     word = re.compile(r"[\t\n\f\r ]*[^\t\n\f\r ]+")
     schema = pa.schema([("doc_id", pa.int64()), ("n_spans", pa.int32()), ("removed_words", pa.int64()), ("spans", pa.string()), ("clean_text", pa.string())])
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
             ends = [m.end() for m in word.finditer(text)]

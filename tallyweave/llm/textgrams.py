@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -54,6 +55,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Smaller batches over the same memory, so that few texts at a time exist as Python objects too."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 class Block:
     """The words of some texts: ``hash``, byte range ``start``/``end`` in its text, and ``doc``, the text's index."""
 
