@@ -68,7 +68,7 @@ def gram_hits(docs: DataFrame, grams: DataFrame, n_grams: int) -> DataFrame:
     """
     wanted = None
     if n_grams * 8 <= BROADCAST_BYTES:
-        rows = np.array(sorted(r[0] for r in grams.select("gram").distinct().collect()), dtype=np.int64)
+        rows = np.sort(grams.select("gram").distinct().toArrow()["gram"].to_numpy())
         wanted = docs.sparkSession.sparkContext.broadcast(rows)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
