@@ -2,15 +2,15 @@
 
 Shallow trees over text statistics give candidate rules (the paths from a root), an L1-penalised logistic regression
 keeps few of them, and those become Spark column expressions. Two ensembles are fitted on ``labels``: one for quality,
-one for toxicity. A document is kept when its quality is at least KEEP_QUALITY and its toxicity below DROP_TOXICITY.
+one for toxicity. A document is kept when its quality is at least KEEP_QUALITY and its toxicity at most DROP_TOXICITY.
 
 Fitting takes at most SAMPLE labelled rows (those of least hash of the id), the only bound here; scoring sees all
 rows and whole texts. Terms that mark toxic texts are themselves learned: words in at least TERM_SHARE of the toxic
 sample, TERM_PRECISION of whose documents are toxic.
 
-Defined results: a null id or text has no score; an empty text has zero in every statistic; without labelled rows of
-both classes a model has no rules and gives the smoothed base rate, 0.5 without any rows, so nothing is rejected
-for quality or toxicity that was never seen. Of repeated labels for an id, the least of each column counts.
+Defined results: a null id or text has no score; an empty text has zero in every statistic; with under two leaves of
+labelled rows, or rows of one class only, a model has no rules and says 0.5 of every text, which rejects nothing. Of
+repeated labels for an id, the least of each column counts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from tallyweave.llm.common import id_text, named, table
 
 SAMPLE = 8192
 TREES, DEPTH, CUTS, LEAST_LEAF = 40, 3, 24, 8
-PENALTY, STEPS = 0.003, 400
+PENALTY, STEPS = 0.15, 400  # the penalty is in units of the noise, sqrt(log(rules) / rows)
 KEEP_QUALITY, DROP_TOXICITY = 0.5, 0.5
 TERM_SHARE, TERM_PRECISION, TERM_LEAST = 0.15, 0.9, 6
 MARKS = "%#$*&!|"
@@ -124,10 +124,9 @@ def _grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, path: Path, fo
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Rules:
     """Trees on bootstrap samples, then proximal gradient steps on the lasso logistic loss over their paths."""
-    rate = (y.sum() + 1) / (len(y) + 2)
-    bias = float(np.log(rate / (1 - rate)))
     if len(y) < 2 * LEAST_LEAF or y.min() == y.max():
-        return Rules(bias, (), ())
+        return Rules(0.0, (), ())
+    bias = float(np.log(y.mean() / (1 - y.mean())))
     rng = np.random.default_rng(seed)
     found: set[Path] = set()
     for _ in range(TREES):
@@ -145,10 +144,11 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Rules:
     step = 4.0 / max(np.linalg.norm(np.column_stack((a, np.ones(len(a)))), 2) ** 2 / len(y), 1e-9)
     w, c, t = np.zeros(a.shape[1]), bias, 1.0
     wm, cm = w, c
+    penalty = PENALTY * float(np.sqrt(np.log(len(paths) + 1) / len(y)))
     for _ in range(STEPS):
         slope = 1 / (1 + np.exp(-(a @ wm + cm))) - y
         new = wm - step * (a.T @ slope) / len(y)
-        new = np.sign(new) * np.maximum(np.abs(new) - step * PENALTY, 0)
+        new = np.sign(new) * np.maximum(np.abs(new) - step * penalty, 0)
         new_c = cm - step * slope.mean()
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
         wm, cm = new + (t - 1) / t_next * (new - w), new_c + (t - 1) / t_next * (new_c - c)
@@ -172,7 +172,7 @@ class Classifier:
 
 
 def accepted() -> Column:
-    return (F.col("_tw_quality") >= KEEP_QUALITY) & (F.col("_tw_toxicity") < DROP_TOXICITY)
+    return (F.col("_tw_quality") >= KEEP_QUALITY) & (F.col("_tw_toxicity") <= DROP_TOXICITY)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:

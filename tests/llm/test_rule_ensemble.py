@@ -27,7 +27,9 @@ def test_columns_say_what_the_rules_say(spark):
 def test_statistics(spark):
     text = "A a a. STOP!! x|y idiot\nsame line\nsame line"
     got = r.statistics(docs(spark, [(1, text)]).withColumnRenamed("text", "_tw_text"), ["idiot"]).first()
-    assert [round(got[f"_tw_{f}"], 4) for f in r.FEATURES] == [10.0, 0.8, 0.1, 0.2, 4.4, 0.3, 0.1, round(1 / 3, 4), round(10 / 3, 4), 1.0]
+    assert [round(got[f"_tw_{f}"], 4) for f in r.FEATURES] == [10.0, 0.8, 0.0, 0.2, len(text) / 10, 0.3, 0.1, round(1 / 3, 4), round(10 / 3, 4), 1.0]
+    repeated = r.statistics(docs(spark, [(1, "go go go")]).withColumnRenamed("text", "_tw_text"), []).first()
+    assert round(repeated["_tw_repeat_share"], 4) == round(2 / 3, 4) and repeated["_tw_flagged"] == 0
 
 
 def test_lasso_keeps_the_rule_that_matters():
