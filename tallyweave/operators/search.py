@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators.lookup import sized
+from tallyweave.operators.materialize import written
 
 LEAST_SCORE = 0.01
 
@@ -47,6 +48,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", tex
     rows = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("terms")).filter(F.size("terms") > 0)
     n = docs.count()
     tf = rows.select("doc", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("c")).select("doc", "term", (F.col("c") / F.col("len")).alias("tf"))
+    tf = written(tf, "tf")  # read by the counts, the weights and the norms, and dear to make
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1
     weights = tf.join(df, "term").select("doc", "term", (F.col("tf") * idf).alias("w"))
