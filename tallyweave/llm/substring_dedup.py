@@ -166,12 +166,12 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         automaton.extend(w)
                 doc, waiting = doc_id, []
             words = text.split(" ")
-            found = runs(automaton.statistics(words), MIN_WORDS) if len(automaton.next) > 1 else []
-            for a, b in found:
+            lengths = automaton.statistics(words) if len(automaton.next) > 1 else [0]
+            for a, b in runs(lengths, MIN_WORDS):
                 for lo in los:
                     for column, value in zip(out, (doc_id, lo + a, lo + b)):
                         column.append(value)
-            if not (found and found[0] == (0, len(words))):  # a context met as a whole adds nothing
+            if lengths[-1] < len(words):  # only one match over all of it adds nothing; touching ones leave out their join
                 waiting.append(words)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], names=["doc_id", "lo", "hi"])

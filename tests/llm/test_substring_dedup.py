@@ -48,6 +48,15 @@ def test_against_brute_force(spark):
     assert spans(s.without_repeats(docs(spark, rows))) == brute(rows, s.MIN_WORDS)
 
 
+def test_a_join_of_two_earlier_matches_is_known(spark):
+    rows = []
+    for seed in range(60):
+        w, r = prose(3000 + seed, 200).split(), random.Random(seed)
+        a, b, d = r.randrange(80, 116), r.randrange(55, 76), r.randrange(105, 146)
+        rows += [(4 * seed + k, " ".join(part)) for k, part in enumerate((w[:a], w[b:], w, w[:d]))]
+    assert spans(s.without_repeats(docs(spark, rows))) == brute(rows, s.MIN_WORDS)
+
+
 def test_text_keeps_its_blanks(spark):
     shared = prose(2, 50)
     rows = [(1, f"head\n\n{shared} tail"), (2, f"  other {shared}\n\n rest\n")]
