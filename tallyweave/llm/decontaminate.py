@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Word SEED-grams of the benchmark items are looked for in every document. How many documents hold each is counted over
-all of them, and the rare ones are seeds: those in at most RARE_SHARE of the documents, or at most twice as many as
-the rarest one found of the same item (so an item that leaked everywhere keeps its seeds). Around the seeds of one
-diagonal lies a passage; it is aligned with the item, words as letters (match +1, mismatch and gap -1), and the score
-over the item's length decides. Edited and partly copied items score in proportion to what was kept.
+Word SEED-grams of the benchmark items are looked for in every document, and each occurrence is a seed, however many
+documents hold the gram: a partial copy may have only grams that leaked widely. Around the seeds of one diagonal lies a
+passage; where it has words enough in common with the item to reach LEAST_SCORE at all, it is aligned with the item,
+words as letters (match +1, mismatch and gap -1), and the score over the item's length decides. Edited and partly
+copied items score in proportion to what was kept.
 
 Defined results: a null id or text, on either side, and an item of fewer than SEED words match nothing; case and
 punctuation don't count; repeated rows count once, a repeated item id is one item per text.
@@ -16,14 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import id_text, table, without_ids
 from tallyweave.llm.textgrams import FOLDED, blocks, slices
 from tallyweave.operators.materialize import BROADCAST_BYTES, broadcast_if_small, written
 
-SEED, RARE_SHARE, LEAST_SCORE = 4, 0.001, 0.5
+SEED, LEAST_SCORE = 4, 0.5
 #: Bytes of a passage or an item as it is joined, for the check before a broadcast.
 CANDIDATE_BYTES = 600
 
@@ -111,8 +111,11 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             group.append(x)
                             continue
                         lo, hi = max(0, group[0] - m // 2), min(len(words), group[-1] + m + m // 2)
-                        score, end = align(item, words[lo:hi])
-                        mine = (score / m, -(lo + end), m)
+                        # each point of the score takes a word of the passage and one of the item that are equal
+                        mine = (0.0, 0, 0)
+                        if min(np.isin(words[lo:hi], item).sum(), np.isin(item, words[lo:hi]).sum()) >= LEAST_SCORE * m:
+                            score, end = align(item, words[lo:hi])
+                            mine = (score / m, -(lo + end), m)
                         if mine[0] >= LEAST_SCORE and mine > best.get(seed["item_id"], (0.0, 0, 0)):
                             best[seed["item_id"]] = mine
                         group = [x]
@@ -137,11 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     grams = written(benchmark_grams(items), "grams")
     n_grams = grams.count()
     hits = written(gram_hits(texts, grams, n_grams).distinct(), "seeds")
-    n_docs = texts.count()
-    df = hits.groupBy("gram").agg(F.count_distinct("doc_id").alias("df"))
-    per = grams.join(df, "gram").withColumn("least", F.min("df").over(Window.partitionBy("item_id", "item_words")))
-    rare = per.filter((F.col("df") <= RARE_SHARE * n_docs) | (F.col("df") <= 2 * F.col("least"))).drop("df", "least")
-    seeds = hits.join(broadcast_if_small(rare, n_grams, CANDIDATE_BYTES), "gram")
+    seeds = hits.join(broadcast_if_small(grams, n_grams, CANDIDATE_BYTES), "gram")
     per_item = seeds.groupBy("doc_id", "item_id", "item_words").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("begins"))
     per_doc = written(per_item.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_words", "begins")).alias("seeds")), "candidates")
     candidates = texts.join(broadcast_if_small(per_doc, per_doc.count(), 4 * CANDIDATE_BYTES), "doc_id").select("doc_id", "text", "seeds")

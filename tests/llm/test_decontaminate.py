@@ -45,6 +45,16 @@ def test_an_item_that_leaked_everywhere(spark):
     assert decontaminate.contaminated(docs(spark, rows), items(spark, bench)).count() == 40
 
 
+def test_heads_of_an_item_beside_one_whole_copy(spark):
+    words = prose(1, 40).split()
+    head, stray = " ".join(words[:26]), " ".join(words[-4:])
+    rows = [(k, prose(k + 50, 20) + " " + head) for k in range(40)] + [(40, " ".join(words))]
+    rows += [(50 + k, stray + " " + prose(k + 100, 200) + " " + head) for k in range(3)]  # the rarest gram isn't in the copy
+    rows += [(60 + k, prose(k + 150, 90) + " " + stray) for k in range(3)]
+    got = {r["doc_id"]: r["score"] for r in decontaminate.contaminated(docs(spark, rows), items(spark, [(1, " ".join(words))])).collect()}
+    assert got == {**{k: 0.65 for k in range(40)}, 40: 1.0, 50: 0.65, 51: 0.65, 52: 0.65}
+
+
 def test_grams_may_shuffle_instead(spark, monkeypatch):
     bench = [(1, prose(1, 30)), (2, prose(2, 30))]
     rows = [(k, prose(k + 50, 20) + " " + bench[k % 2][1]) for k in range(6)]
