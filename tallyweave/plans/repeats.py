@@ -102,6 +102,20 @@ def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.from_wide(wide_grid_pivot(spark, sf_dir), ["l_orderkey"], ["l_quantity", "l_returnflag"])
 
 
+@query()
+def wide_grid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid of all instances, as wide as the order with the most lines; its columns depend on the data, so it has no SQL."""
+    li = _lines(spark, sf_dir)
+    return repeats.grid(li, ["l_orderkey"], "idx", ["l_quantity", "l_returnflag"], repeats.largest_count(li, ["l_orderkey"]))
+
+
+@query(f"""
+WITH l AS (SELECT *, {_IDX} AS idx FROM lineitem) SELECT l_orderkey, idx::INTEGER AS idx, l_quantity, l_returnflag FROM l
+""")
+def wide_to_long_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.from_wide(wide_grid_whole(spark, sf_dir), ["l_orderkey"], ["l_quantity", "l_returnflag"])
+
+
 @query("SELECT max(n) AS largest FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)")
 def repeat_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count().agg(F.max("count").alias("largest"))
