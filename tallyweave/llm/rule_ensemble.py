@@ -5,8 +5,11 @@ keeps few of them, and those become Spark column expressions. Two ensembles are
 one for toxicity. A document is kept when its quality is at least KEEP_QUALITY and its toxicity at most DROP_TOXICITY.
 
 Fitting takes at most SAMPLE labelled rows (those of least hash of the id), the only bound here; scoring sees all
-rows and whole texts. Terms that mark toxic texts are themselves learned: words in at least TERM_SHARE of the toxic
-sample, TERM_PRECISION of whose documents are toxic.
+rows and whole texts. Terms that mark toxic texts are themselves learned: words of at least TERM_LEAST toxic documents,
+TERM_PRECISION of whose documents are toxic, and so often that chance (a one-sided binomial test at the sample's rate of
+toxic rows, TERM_CHANCE shared out among all its words) doesn't explain it. How many of the toxic rows hold a word
+doesn't count, so a small language or a varied vocabulary is learned too. Copies of one text, whole or edited, aren't
+independent: texts with the same least hash of three words in a row count once.
 
 Defined results: a null id or text has no score; an empty text has zero in every statistic; with under two leaves of
 labelled rows, or rows of one class only, a model has no rules and says 0.5 of every text, which rejects nothing. Of
@@ -16,6 +19,7 @@ repeated labels for an id, the least of each column counts.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import exp, lgamma, log
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +31,7 @@ SAMPLE = 8192
 TREES, DEPTH, CUTS, LEAST_LEAF = 40, 3, 24, 8
 PENALTY, STEPS = 0.15, 400  # the penalty is in units of the noise, sqrt(log(rules) / rows)
 KEEP_QUALITY, DROP_TOXICITY = 0.5, 0.5
-TERM_SHARE, TERM_PRECISION, TERM_LEAST = 0.15, 0.9, 6
+TERM_PRECISION, TERM_LEAST, TERM_CHANCE = 0.9, 6, 0.01
 MARKS = "%#$*&!|"
 FEATURES = ["n_words", "distinct_share", "repeat_share", "caps_share", "word_length", "marks_per_word", "stops_per_word", "line_repeat_share", "words_per_line", "flagged"]
 
@@ -184,12 +188,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_tw_id"]).select(F.col("text").alias("_tw_text"), "quality", "toxic")
 
 
+def chance(hit: int, n: int, rate: float) -> float:
+    """Probability of at least ``hit`` toxic documents among ``n`` at a rate between 0 and 1."""
+    each = (lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(rate) + (n - k) * log(1 - rate) for k in range(hit, n + 1))
+    return sum(map(exp, each))
+
+
 def toxic_terms(sample: DataFrame) -> list[str]:
-    words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("_tw_text"), r"[^\p{L}]+"))).alias("word")).filter("word <> ''")
-    toxic = sample.filter("toxic = 1").count()
-    counts = words.groupBy("word").agg(F.sum("toxic").alias("hit"), F.count("*").alias("n"))
-    least = max(TERM_LEAST, TERM_SHARE * toxic)
-    return sorted(r["word"] for r in counts.filter((F.col("hit") >= least) & (F.col("hit") >= TERM_PRECISION * F.col("n"))).collect())
+    row = F.split(F.lower("_tw_text"), r"\s+")
+    grams = F.transform(F.arrays_zip(row, F.slice(row, 2, F.size(row)), F.slice(row, 3, F.size(row))), lambda s: F.xxhash64(s))
+    words = sample.withColumn("text_key", F.array_min(grams)).select("text_key", "toxic", F.explode(F.array_distinct(F.split(F.lower("_tw_text"), r"[^\p{L}]+"))).alias("word")).filter("word <> ''")
+    toxic, rows = sample.agg(F.count_if(F.col("toxic") > 0), F.count("*")).first()
+    if not 0 < toxic < rows:
+        return []
+    counts = words.groupBy("word", "text_key").agg(F.max("toxic").alias("toxic")).groupBy("word").agg(F.count_if(F.col("toxic") > 0).alias("hit"), F.count("*").alias("n")).persist()
+    try:
+        tested = counts.count()
+        likely = counts.filter((F.col("hit") >= TERM_LEAST) & (F.col("hit") >= TERM_PRECISION * F.col("n"))).collect()
+    finally:
+        counts.unpersist()
+    return sorted(r["word"] for r in likely if chance(r["hit"], r["n"], toxic / rows) * tested <= TERM_CHANCE)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:

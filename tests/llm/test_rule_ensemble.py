@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallyweave.llm import rule_ensemble as r
-from tests.llm.helpers import awkward, docs
+from tests.llm.helpers import awkward, docs, prose
 
 DATA = "/root/testdata/sf0.01"
 
@@ -53,3 +53,21 @@ def test_awkward(spark):
         assert kept.columns == awkward(spark).columns and kept.filter("text is null").count() == 2
     assert r.classified(awkward(spark), labels(spark, [])).filter("not keep").count() == 0
     assert r.classified(docs(spark, []), labels(spark, [])).count() == 0
+
+
+def test_toxic_words_of_a_small_language(spark):
+    other = lambda seed: prose(seed, 26 + seed % 9).replace("w", "palabra")
+    rows = [(k, prose(k, 26 + k % 9) if k % 6 else other(k)) for k in range(600)] + [(600 + k, prose(900 + k, 26 + k % 9) + " idiot") for k in range(90)]
+    rows += [(700 + k, other(2000 + k) + " basura") for k in range(10)]
+    rows += [(720 + k, prose(k + 4000, 26 + k % 9) + f" {'abcdefghij'[k % 10]}oaf") for k in range(100)]
+    rows += [(830 + k, prose(7000, 40) + f" onetext {k}") for k in range(30)]
+    marks = labels(spark, [(i, 1, int(i >= 600), "") for i, _ in rows])
+    rows += [(900, prose(5000, 30) + " basura"), (901, prose(5001, 30) + " coaf"), (902, prose(5002, 30))]
+    model = r.train(docs(spark, rows), marks)
+    assert set(model.terms) == {"idiot", "basura", *(f"{c}oaf" for c in "abcdefghij")}
+    got = {x["doc_id"]: x["_tw_toxicity"] > r.DROP_TOXICITY for x in model.scored(docs(spark, rows)).collect()}
+    assert got[900] and got[901] and not got[902] and all(got[700 + k] for k in range(10))
+
+
+def test_chance_is_the_binomial_tail():
+    assert abs(r.chance(2, 3, 0.5) - 0.5) < 1e-12 and abs(r.chance(6, 6, 0.1) - 1e-6) < 1e-15
