@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tallyweave.llm.common import id_text, named, table
+from tallyweave.llm.common import id_text, place, positional, table
 from tallyweave.operators.materialize import broadcast_if_small, session_conf, shared_path, written
 
 Digest = Callable[[Column], Column]
@@ -114,14 +114,17 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = found.select(F.col("doc_id").alias("_tw_id"), F.unhex("digest").alias("_tw_digest"), (F.col("doc_id") == F.col("duplicate_of")).alias("_tw_self"))
     n, repeated = found.agg(F.count("*"), F.count_if(F.col("doc_id") == F.col("duplicate_of"))).first()
 
-    def on(rows: DataFrame, part: DataFrame, how: str) -> DataFrame:
-        return rows.join(broadcast_if_small(part, n, ROW_BYTES), (named(rows, id_col).cast("long") == part["_tw_id"]) & (sha256(named(rows, text_col)) == part["_tw_digest"]), how)
+    rows = positional(docs)
+    id_, text = f"c{place(docs, id_col)}", f"c{place(docs, text_col)}"
 
-    kept = on(docs, key.filter(~F.col("_tw_self")), "left_anti")
+    def on(part: DataFrame, how: str) -> DataFrame:
+        return rows.join(broadcast_if_small(part, n, ROW_BYTES), (rows[id_].cast("long") == part["_tw_id"]) & (sha256(rows[text].cast("string")) == part["_tw_digest"]), how)
+
+    kept = on(key.select("_tw_id", "_tw_digest"), "left_anti")
     if repeated:
-        own = key.filter("_tw_self")
-        kept = on(kept, own, "left_anti").unionByName(on(kept, own, "left_semi").dropDuplicates([id_col, text_col]))
-    return kept
+        again = on(key.filter("_tw_self").select("_tw_id", "_tw_digest"), "left_semi").dropDuplicates([id_, text])
+        kept = kept.unionByName(again)
+    return kept.toDF(*docs.columns)
 
 
 def op4_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

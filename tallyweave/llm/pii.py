@@ -8,16 +8,19 @@ Three transducers rewrite a text, each noting for every output character the sou
 
 Detectors then run on the rewritten text and their spans are mapped back: ``start`` and ``end`` are character offsets
 such that text[start:end] is ``surface``, which stands for ``value``. Cards must pass the Luhn check, IBANs mod 97,
-addresses and numbers their ranges. Texts are scanned whole.
+addresses and numbers their ranges. A local part may have any length. Texts are scanned whole, in time in proportion to
+their length whatever they hold (runs of blanks, brackets, addresses or of the word "dot" too).
 
 Defined results: null ids and texts and empty texts give no rows; overlapping finds give way to the first kind in
-the order of KINDS; repeated rows of an id are scanned once.
+the order of KINDS, and of one kind to the one that starts first (a tie goes to the shorter); repeated rows of an id
+give their finds once; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,20 +45,22 @@ del _c, _n, _d
 _INVISIBLE = "­​‌‍⁠﻿᠎"
 _GLYPHS = frozenset(_LOOKALIKE) | frozenset(_INVISIBLE)
 
-_BRACKETED = re.compile(r"\s*[\[({<]\s*(at|@|dot|\.|punkt|point|arroba|punto)\s*[\])}>]\s*", re.I)
-_AT_DOT = re.compile(r"(?<![\w.+-])((?:[\w+-]+\s+dot\s+)*[\w.+-]+)(\s+at\s+|\s*@\s*)([\w-]+(?:\.[\w-]+)*)((?:\s+dot\s+[\w-]+)+)(?![\w-])", re.I)
-_DOT = re.compile(r"\s+dot\s+", re.I)
+_BRACKETED = re.compile(r"[\[({<]\s*+(at|@|dot|\.|punkt|point|arroba|punto)\s*+[\])}>]", re.I)
+_PIECE = re.compile(r"@|[^\s@]+")
+_LOCAL_PART, _LOCAL_PARTS = re.compile(r"[\w+-]+"), re.compile(r"[\w.+-]+")
+_HOST_PART, _HOST_PARTS = re.compile(r"[\w-]+"), re.compile(r"[\w-]+(?:\.[\w-]+)*")
 _SPACED_AT = re.compile(r"(?<=[\w.+-])(?: @ ?|@ )(?=[\w-]+(?:\.[\w-]+)+)")
 
 _DIGITS = dict(zero="0", oh="0", one="1", two="2", three="3", four="4", five="5", six="6", seven="7", eight="8", nine="9")
 _SPELLED_WORD = "(?:" + "|".join(_DIGITS) + ")"
-_SPELLED = re.compile(rf"(?<!\w)(?:{_SPELLED_WORD}|\d+)(?:[ ,.-]{{1,2}}(?:{_SPELLED_WORD}|\d+)){{2,}}(?!\w)", re.I)
+_SPELLED = re.compile(rf"(?<!\w)(?:{_SPELLED_WORD}|\d+)(?:[\s,.-]{{1,3}}(?:{_SPELLED_WORD}|\d+)){{2,}}(?!\w)", re.I)
 _TOKEN = re.compile(rf"{_SPELLED_WORD}|\d+", re.I)
 
-_ANY_DIGIT, _OPEN_AT = re.compile(r"\d"), re.compile(r"[\[({<]\s*(?:at|arroba|@)\s*[\])}>]")
+_ANY_DIGIT, _OPEN_AT = re.compile(r"\d"), re.compile(r"[\[({<]\s*+(?:at|arroba|@)\s*+[\])}>]")
 _SECRET_WORDS = ("token", "secret", "passw", "key")
-_LOCAL, _HOST = re.compile(r"[A-Za-z0-9._%+\-]+$"), re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
-_SECRET = re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key)\b\s*[=:]\s*[\"']?([A-Za-z0-9_\-+/]{12,})", re.I)
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
+_SECRET = re.compile(r"\b(?:token|secret|password|passwd|api[_-]?key)\b\s*+[=:]\s*+[\"']?([A-Za-z0-9_\-+/]{12,})", re.I)
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _RUN = re.compile(r"(?<![\w.+-])\d{13,19}(?![\w-])")
 _GROUPED = re.compile(r"(?<![\w-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])")
@@ -101,16 +106,75 @@ class Rewritten:
         return self.spelled is not None and bool(self.spelled[a:b].any())
 
 
-def _spells(low: str) -> bool:
-    """Whether a word of ``low`` is a spelled digit."""
-    return not _DIGITS.keys().isdisjoint(low.replace(",", " ").replace(".", " ").replace("-", " ").split())
+_SEPARATORS = str.maketrans(",.-", "   ")
 
 
-def _worthwhile(low: str) -> bool:
-    """False only where no detector or transducer could find anything."""
-    if "@" in low or _ANY_DIGIT.search(low) or _spells(low) or _OPEN_AT.search(low):
+def _worthwhile(low: str, words: set[str]) -> bool:
+    """False only where no detector or transducer could find anything. ``words`` are those of ``low``."""
+    if "@" in low or _ANY_DIGIT.search(low) or not _DIGITS.keys().isdisjoint(words) or _OPEN_AT.search(low):
         return True
-    return " dot " in low.replace("\n", " ") and " at " in low.replace("\n", " ") or any(map(low.__contains__, _SECRET_WORDS)) and _SECRET.search(low) is not None
+    return "dot" in words and "at" in words or any(map(low.__contains__, _SECRET_WORDS)) and _SECRET.search(low) is not None
+
+
+def _undone_brackets(text: str) -> list[tuple[int, int, str]]:
+    """``(at)`` and ``[dot]`` between letters or digits, with the blanks around them, to ``@`` and ``.``."""
+    edits, done = [], 0
+    for m in _BRACKETED.finditer(text):
+        a, b = m.span()
+        while a > done and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        if a > done and b < len(text) and text[a - 1].isalnum() and text[b].isalnum():
+            edits.append((a, b, "@" if m[1].lower() in ("at", "@", "arroba") else "."))
+        done = b
+    return edits
+
+
+def _undone_words(text: str) -> list[tuple[int, int, str]]:
+    """``name dot name at host dot org`` and ``name @ host dot org`` to an address.
+
+    From each ``at`` or ``@`` the pieces are followed outwards, to the next one at most, so each is met twice at most.
+    """
+    pieces = [m.span() for m in _PIECE.finditer(text)]
+    said = [text[a:b].lower() if b - a <= 3 else "" for a, b in pieces]
+    n = len(pieces)
+    parted = [k == 0 or pieces[k - 1][1] < pieces[k][0] for k in range(n)] + [True]  # a blank before the piece
+
+    def dotted(k: int) -> bool:
+        """Whether piece k is a ``dot`` between two pieces that a walk may take."""
+        return 0 < k < n - 1 and said[k] == "dot" and parted[k] and parted[k + 1] and said[k - 1] not in ("at", "@") and said[k + 1] not in ("at", "@")
+
+    def ends_a_name(k: int) -> bool:
+        lo, at = pieces[k]
+        end = at
+        while at > lo and (text[at - 1].isalnum() or text[at - 1] in "_+-"):
+            at -= 1
+        return at < end and not (at > lo and text[at - 1] == ".")
+
+    edits: list[tuple[int, int, str]] = []
+    free = 0  # the first piece that no address has taken
+    for k in range(1, n - 1):
+        if k - 1 < free or not (said[k] == "@" or said[k] == "at" and parted[k] and parted[k + 1]):
+            continue
+        last = text[pieces[k - 1][1] - 1]
+        if not (last.isalnum() or last in "_.+-") or not _HOST_PARTS.fullmatch(text, *pieces[k + 1]):
+            continue
+        right, j = [], k + 1
+        while dotted(j + 1) and _HOST_PART.match(text, *pieces[j + 2]):
+            right.append((pieces[j][1], pieces[j + 2][0], "."))
+            j += 2
+            if not _HOST_PART.fullmatch(text, *pieces[j]):
+                break
+        if not right:
+            continue
+        left, i = [], k - 1
+        while i - 2 >= free and dotted(i - 1) and (_LOCAL_PARTS if i == k - 1 else _LOCAL_PART).fullmatch(text, *pieces[i]) and ends_a_name(i - 2):
+            left.append((pieces[i - 2][1], pieces[i][0], "."))
+            i -= 2
+        edits += [*reversed(left), (pieces[k - 1][1], pieces[k + 1][0], "@"), *right]
+        free = j + 1
+    return edits
 
 
 def rewrite(text: str) -> Rewritten:
@@ -118,21 +182,17 @@ def rewrite(text: str) -> Rewritten:
     if not text.isascii() and (there := _GLYPHS.intersection(text)):
         r.edit([(m.start(), m.end(), _LOOKALIKE.get(m[0], "")) for m in re.finditer("[" + re.escape("".join(sorted(there))) + "]", text)])
     low = r.text.lower()
-    if not _worthwhile(low):
+    words = set(low.translate(_SEPARATORS).split())
+    if not _worthwhile(low, words):
         r.text = ""
         return r
     if any(c in r.text for c in "[({<"):
-        r.edit([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@", "arroba") else ".") for m in _BRACKETED.finditer(r.text) if m.start() and m.end() < len(r.text) and r.text[m.start() - 1].isalnum() and r.text[m.end()].isalnum()])
-    if "dot" in low:
-        edits = []
-        for m in _AT_DOT.finditer(r.text):
-            edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(r.text, *m.span(1))]
-            edits.append((*m.span(2), "@"))
-            edits += [(d.start(), d.end(), ".") for d in _DOT.finditer(r.text, *m.span(4))]
-        r.edit(edits)
+        r.edit(_undone_brackets(r.text))
+    if "dot" in words:
+        r.edit(_undone_words(r.text))
     if "@ " in r.text:
         r.edit([(m.start(), m.end(), "@") for m in _SPACED_AT.finditer(r.text)])
-    if _spells(low):
+    if not _DIGITS.keys().isdisjoint(words):
         edits = []
         for m in _SPELLED.finditer(r.text):
             tokens = _TOKEN.findall(m[0])
@@ -154,11 +214,13 @@ def _finds(r: Rewritten) -> Iterator[tuple[str, int, int]]:
     t = r.text
     at = t.find("@")
     while at >= 0:
-        # a local part has 64 characters at most
-        if (a := _LOCAL.search(t, max(0, at - 65), at)) and (b := _HOST.match(t, at + 1)):
-            lo = a.start() + len(a[0]) - len(a[0].lstrip(".%+-"))
-            if 0 < at - lo <= 64:
-                yield "email", lo, b.end()
+        lo = at
+        while lo and t[lo - 1] in _LOCAL:
+            lo -= 1
+        while lo < at and t[lo] in ".%+-":
+            lo += 1
+        if lo < at and (b := _HOST.match(t, at + 1)):
+            yield "email", lo, b.end()
         at = t.find("@", at + 1)
     for m in _SECRET.finditer(t) if any(map(t.lower().__contains__, _SECRET_WORDS)) else ():
         yield "secret", *m.span(1)
@@ -193,18 +255,22 @@ def identifiers(text: str) -> list[tuple[str, int, int, str, str]]:
     r = rewrite(text)
     if not r.text:
         return []
-    taken: list[tuple[int, int]] = []
-    out = []
     found: dict[str, list[tuple[int, int]]] = {}
     for kind, a, b in _finds(r):
         found.setdefault(kind, []).append((a, b))
+    out = []
+    taken: list[tuple[int, int]] = []  # apart from each other, in order
     for kind in KINDS:
+        starts, mine, last = [a for a, _ in taken], [], 0
         for a, b in sorted(found.get(kind, ())):
-            if any(x < b and a < y for x, y in taken):
+            k = bisect_right(starts, a)
+            if a < last or k and taken[k - 1][1] > a or k < len(taken) and starts[k] < b:
                 continue
-            taken.append((a, b))
+            last = b
+            mine.append((a, b))
             lo, hi = r.source(a, b)
             out.append((kind, lo, hi, text[lo:hi], r.text[a:b]))
+        taken = sorted(taken + mine)
     return sorted(out, key=lambda f: (f[1], f[2]))
 
 

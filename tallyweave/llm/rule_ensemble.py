@@ -11,9 +11,12 @@ toxic rows, TERM_CHANCE shared out among all its words) doesn't explain it. How
 doesn't count, so a small language or a varied vocabulary is learned too. Copies of one text, whole or edited, aren't
 independent: texts with the same least hash of three words in a row count once.
 
-Defined results: a null id or text has no score; an empty text has zero in every statistic; with under two leaves of
-labelled rows, or rows of one class only, a model has no rules and says 0.5 of every text, which rejects nothing. Of
-repeated labels for an id, the least of each column counts.
+Defined results: a null id or text has no score, and ``keep_accepted`` keeps its row; an empty text has zero in every
+statistic; texts are scored whole; with under two leaves of labelled rows (an empty table of labels too), or rows of one
+class only, a model has no rules and says 0.5 of every text, which rejects nothing; an empty table of documents gives an
+empty result. Of repeated labels for an id, the least of each column counts; repeated rows are each scored. Of paths that
+hold for the same sample rows the shortest stands, ties by feature and cut; ties in the hash that picks the sample go to
+the smaller id. Extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import id_text, named, table
+from tallyweave.llm.common import id_text, picked, place, positional, table
 
 SAMPLE = 8192
 TREES, DEPTH, CUTS, LEAST_LEAF = 40, 3, 24, 8
@@ -38,18 +41,15 @@ FEATURES = ["n_words", "distinct_share", "repeat_share", "caps_share", "word_len
 Path = tuple[tuple[int, bool, float], ...]  # (feature, greater, cut)
 
 
-def _count(text: Column, what: str) -> Column:
-    return F.char_length(text) - F.char_length(F.replace(text, F.lit(what), F.lit("")))
-
-
-def statistics(texts: DataFrame, terms: list[str], text: str = "_tw_text") -> DataFrame:
-    """``texts`` with the columns of FEATURES, named _tw_<feature>; built-in expressions only."""
+def statistics(texts: DataFrame, terms: list[str], text: str = "_tw_text", only: set[str] | None = None) -> DataFrame:
+    """``texts`` with the columns of FEATURES (or those of ``only``), named _tw_<feature>; built-in expressions only."""
     body = F.col(text)
     lines = F.split(body, "\n", -1)
     df = texts.withColumns({"_tw_words": F.filter(F.split(body, r"\s+"), lambda w: w != ""), "_tw_lines": F.filter(lines, lambda x: x != "")})
     words, kept_lines = F.col("_tw_words"), F.col("_tw_lines")
     n, m = F.size(words), F.size(kept_lines)
     per = lambda x, d: F.when(d > 0, x / d).otherwise(0.0).cast("double")
+    among = lambda marks: F.char_length(body) - F.char_length(F.translate(body, marks, ""))
     flagged = F.size(F.array_intersect(F.split(F.lower(body), r"[^\p{L}]+"), F.array(*map(F.lit, terms)))) if terms else F.lit(0)
     made = {
         "n_words": n.cast("double"),
@@ -57,13 +57,13 @@ def statistics(texts: DataFrame, terms: list[str], text: str = "_tw_text") -> Da
         "repeat_share": per(F.size(F.filter(words, lambda w, i: F.get(words, i - 1) == w)), n),
         "caps_share": per(F.size(F.filter(words, lambda w: (w == F.upper(w)) & (w != F.lower(w)))), n),
         "word_length": per(F.char_length(body), n),
-        "marks_per_word": per(sum((_count(body, c) for c in MARKS), F.lit(0)), n),
-        "stops_per_word": per(_count(body, ".") + _count(body, ","), n),
+        "marks_per_word": per(among(MARKS), n),
+        "stops_per_word": per(among(".,"), n),
         "line_repeat_share": per(m - F.size(F.array_distinct(kept_lines)), m),
         "words_per_line": per(n, m),
         "flagged": flagged.cast("double"),
     }
-    return df.withColumns({f"_tw_{k}": v for k, v in made.items()}).drop("_tw_words", "_tw_lines")
+    return df.withColumns({f"_tw_{k}": v for k, v in made.items() if only is None or k in only}).drop("_tw_words", "_tw_lines")
 
 
 @dataclass(frozen=True)
@@ -85,6 +85,9 @@ class Rules:
             odds += F.when(holds, F.lit(weight)).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
+    def features(self) -> set[str]:
+        return {FEATURES[k] for path in self.paths for k, _, _ in path}
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.bias + holding(self.paths, x) @ np.array(self.weights, dtype=float))))
 
@@ -168,11 +171,13 @@ class Classifier:
     toxicity: Rules
 
     def scored(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """``df`` with _tw_quality and _tw_toxicity, null where the text is."""
-        rows = df.withColumn("_tw_text", named(df, text_col).cast("string"))
-        rows = statistics(rows, list(self.terms))
+        """``df``, none of whose columns begins with _tw_, with _tw_quality and _tw_toxicity, null where the text is.
+
+        Only the statistics that the rules ask for are computed.
+        """
+        made = statistics(df.withColumn("_tw_text", df[text_col].cast("string")), list(self.terms), only=self.quality.features() | self.toxicity.features())
         known = F.col("_tw_text").isNotNull()
-        return rows.withColumns({"_tw_quality": F.when(known, self.quality.column()), "_tw_toxicity": F.when(known, self.toxicity.column())})
+        return made.withColumns({"_tw_quality": F.when(known, self.quality.column()), "_tw_toxicity": F.when(known, self.toxicity.column())})
 
 
 def accepted() -> Column:
@@ -181,7 +186,7 @@ def accepted() -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(_tw_text, quality, toxic) of at most SAMPLE labelled documents, chosen by hash of their id."""
-    marks = labels.select(named(labels, "doc_id").cast("long").alias("_tw_id"), named(labels, "quality").cast("int").alias("quality"), named(labels, "toxic").cast("int").alias("toxic"))
+    marks = picked(labels, _tw_id="doc_id", quality="quality", toxic="toxic").select(F.col("_tw_id").cast("long"), F.col("quality").cast("int"), F.col("toxic").cast("int"))
     marks = marks.dropna().groupBy("_tw_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
     chosen = marks.orderBy(F.xxhash64("_tw_id"), "_tw_id").limit(SAMPLE)
     texts = id_text(docs)
@@ -228,11 +233,12 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.col("_tw_quality").alias("quality"), F.col("_tw_toxicity").alias("toxicity"), accepted().alias("keep"))
 
 
-def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't rejected; rows without a text stay."""
+    rows = positional(docs)
     # the row number keeps the filter above the scores: pushed below them, it would hold every rule's statistics over again
-    scored = train(docs, labels).scored(docs).withColumn("_tw_row", F.monotonically_increasing_id())
-    return scored.filter(F.coalesce(accepted(), F.lit(True)) & (F.col("_tw_row") >= 0)).select(*(named(scored, c) for c in docs.columns))
+    scored = train(docs, labels).scored(rows, f"c{place(docs, text_col)}").withColumn("_tw_row", F.monotonically_increasing_id())
+    return scored.filter(F.coalesce(accepted(), F.lit(True)) & (F.col("_tw_row") >= 0)).select(*rows.columns).toDF(*docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

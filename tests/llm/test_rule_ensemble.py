@@ -19,7 +19,8 @@ def test_held_out_accuracy(spark):
 def test_columns_say_what_the_rules_say(spark):
     d, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     model = r.train(d, labels)
-    rows = model.scored(d).select("_tw_quality", "_tw_toxicity", *(f"_tw_{f}" for f in r.FEATURES)).toPandas()
+    scores = model.scored(d).select("doc_id", "_tw_quality", "_tw_toxicity")
+    rows = r.statistics(d.withColumn("_tw_text", F.col("text")), list(model.terms)).select("doc_id", *(f"_tw_{f}" for f in r.FEATURES)).join(scores, "doc_id").toPandas()
     x = rows[[f"_tw_{f}" for f in r.FEATURES]].to_numpy(dtype=float)
     assert np.allclose(model.quality.predict(x), rows["_tw_quality"]) and np.allclose(model.toxicity.predict(x), rows["_tw_toxicity"])
 
@@ -71,3 +72,30 @@ def test_toxic_words_of_a_small_language(spark):
 
 def test_chance_is_the_binomial_tail():
     assert abs(r.chance(2, 3, 0.5) - 0.5) < 1e-12 and abs(r.chance(6, 6, 0.1) - 1e-6) < 1e-15
+
+
+def test_columns_that_differ_in_case_or_look_like_ours(spark):
+    """The exact name counts, and no column is overwritten."""
+    names = ["doc_id", "text", "Text", "_tw_text", "_tw_words", "_tw_quality", "c0"]
+    d = spark.createDataFrame([(k, "good prose, " * 9, "other", "mine", "w", "q", "z") for k in range(4)], "doc_id long, text string, a string, b string, c string, d string, e string").toDF(*names)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = r.keep_accepted(d, labels)
+    assert kept.columns == names and sorted(map(tuple, kept.collect())) == sorted(map(tuple, d.collect()))
+    assert r.classified(d, labels).count() == 4
+
+
+def test_lasso_paths_by_brute_force():
+    """On a table small enough to search all rules of one clause, the best one carries the fit."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (120, len(r.FEATURES))).astype(float)
+    y = (x[:, 4] > 1).astype(float)
+    rules = r.fit(x, y)
+    gain = {}
+    for k in range(x.shape[1]):
+        for cut in np.unique(x[:, k])[:-1]:
+            a, b = y[x[:, k] > cut], y[x[:, k] <= cut]
+            gain[k, cut] = len(a) * a.var() + len(b) * b.var()
+    k, cut = min(gain, key=gain.get)
+    assert (k, cut) == (4, 1.0) and any(p in (((4, True, 1.0),), ((4, False, 1.0),)) for p in rules.paths)
+    assert ((rules.predict(x) > 0.5) == (y > 0.5)).all()
+    assert {f for p in rules.paths for f, _, _ in p} == {r.FEATURES.index(f) for f in rules.features()}
