@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Up to this many bytes of counted rows are broadcast; beyond it the join shuffles.
@@ -51,6 +51,14 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 32) -> DataFra
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def broadcast_if_bytes(df: DataFrame, size: Column) -> DataFrame:
+    """Hint a broadcast when the bytes of all rows, ``size`` for each, are measured to fit in BROADCAST_BYTES.
+
+    ``df`` is read once for the measure: give it a written table.
+    """
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_BYTES else df
+
+
 @contextmanager
 def session_conf(spark: SparkSession, **settings: str) -> Iterator[None]:
     """Set SQL settings (``__`` stands for ``.``) for a block that runs its jobs inside, then restore them."""
