@@ -4,10 +4,12 @@ Word SEED-grams of the benchmark items are looked for in every document, and eac
 documents hold the gram: a partial copy may have only grams that leaked widely. Around the seeds of one diagonal lies a
 passage; where it has words enough in common with the item to reach LEAST_SCORE at all, it is aligned with the item,
 words as letters (match +1, mismatch and gap -1), and the score over the item's length decides. Edited and partly
-copied items score in proportion to what was kept.
+copied items score in proportion to what was kept. An item of two or three words is one seed, its whole text.
 
-Defined results: a null id or text, on either side, and an item of fewer than SEED words match nothing; case and
-punctuation don't count; repeated rows count once, a repeated item id is one item per text.
+Defined results: a null id or text, on either side, and an item of no word or of one (any text may have that) match
+nothing; case and punctuation don't count; texts and items of any length are read whole; repeated rows count once, a
+repeated item id is one item per text, of which the best alignment counts; of alignments of one score the one that ends
+first; without documents or items the result is empty; extra columns aren't read and stay as they are.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.common import id_text, table, without_ids
 from tallyweave.llm.textgrams import FOLDED, blocks, slices
-from tallyweave.operators.materialize import BROADCAST_BYTES, broadcast_if_small, written
+from tallyweave.operators.materialize import BROADCAST_BYTES, broadcast_if_bytes, broadcast_if_small, written
 
 SEED, LEAST_SCORE = 4, 0.5
-#: Bytes of a passage or an item as it is joined, for the check before a broadcast.
-CANDIDATE_BYTES = 600
+#: The least words of an item that is looked for at all.
+LEAST_WORDS = 2
+#: Bytes of a gram with its item and place, all of fixed size, for the check before a broadcast.
+GRAM_BYTES = 32
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -47,22 +51,36 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 def benchmark_grams(items: DataFrame) -> DataFrame:
-    """(gram, item_id, item_pos, item_words): ``items`` has (item_id, text)."""
+    """(gram, item_key, item_pos): ``items`` has (item_key, item_id, text)."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            for b in blocks(batch.column(1).to_pylist(), FOLDED):
-                at, h = b.grams(SEED)
-                ids = batch.column(0).take(pa.array(b.doc[at] + b.first))
-                words = [pa.array(b.hash[b.offset[d] : b.offset[d + 1]].view(np.int64)) for d in range(b.n)]
-                lists = pa.array([w.to_pylist() for w in words], type=pa.list_(pa.int64())).take(pa.array(b.doc[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array(at - b.offset[b.doc[at]]), lists], names=["gram", "item_id", "item_pos", "item_words"])
+            for b in blocks(batch.column(2).to_pylist(), FOLDED):
+                for n in range(LEAST_WORDS, SEED + 1):
+                    at, h = b.grams(n)
+                    if n < SEED:
+                        whole = b.words[b.doc[at]] == n
+                        at, h = at[whole], h[whole]
+                    keys = batch.column(0).take(pa.array(b.doc[at] + b.first))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), keys, pa.array(at - b.offset[b.doc[at]])], names=["gram", "item_key", "item_pos"])
+
+    return items.mapInArrow(grams, "gram long, item_key long, item_pos long")
 
-    return items.mapInArrow(grams, "gram long, item_id long, item_pos long, item_words array<long>")
 
+def item_words(items: DataFrame) -> DataFrame:
+    """(item_key, item_id, item_words): the hashes of each item's words."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for b in blocks(batch.column(2).to_pylist(), FOLDED):
+                lists = pa.ListArray.from_arrays(pa.array(b.offset.astype(np.int32)), pa.array(b.hash.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(b.first, b.n) for k in (0, 1)] + [lists], names=["item_key", "item_id", "item_words"])
 
-def gram_hits(docs: DataFrame, grams: DataFrame, n_grams: int) -> DataFrame:
-    """(gram, doc_id, pos) of every occurrence of a benchmark gram. ``docs`` has (doc_id, text).
+    return items.mapInArrow(words, "item_key long, item_id long, item_words array<long>")
+
+
+def gram_hits(docs: DataFrame, grams: DataFrame, n_grams: int, lengths: list[int]) -> DataFrame:
+    """(gram, doc_id, pos) of every occurrence of a benchmark gram of one of ``lengths``. ``docs`` has (doc_id, text).
 
     The grams' hashes go to the executors when their counted size allows; else every gram of the documents is joined.
     """
@@ -74,17 +92,18 @@ def gram_hits(docs: DataFrame, grams: DataFrame, n_grams: int) -> DataFrame:
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for b in blocks(batch.column(1).to_pylist(), FOLDED):
-                at, h = b.grams(SEED)
-                h = h.view(np.int64)
-                if wanted is not None:
-                    table_ = wanted.value
-                    if not len(table_):
-                        continue
-                    there = table_[np.minimum(np.searchsorted(table_, h), len(table_) - 1)] == h
-                    at, h = at[there], h[there]
-                if len(at):
-                    ids = batch.column(0).take(pa.array(b.doc[at] + b.first))
-                    yield pa.RecordBatch.from_arrays([pa.array(h), ids, pa.array(at - b.offset[b.doc[at]])], names=["gram", "doc_id", "pos"])
+                for n in lengths:
+                    at, h = b.grams(n)
+                    h = h.view(np.int64)
+                    if wanted is not None:
+                        table_ = wanted.value
+                        if not len(table_):
+                            continue
+                        there = table_[np.minimum(np.searchsorted(table_, h), len(table_) - 1)] == h
+                        at, h = at[there], h[there]
+                    if len(at):
+                        ids = batch.column(0).take(pa.array(b.doc[at] + b.first))
+                        yield pa.RecordBatch.from_arrays([pa.array(h), ids, pa.array(at - b.offset[b.doc[at]])], names=["gram", "doc_id", "pos"])
 
     found = docs.mapInArrow(hits, "gram long, doc_id long, pos long")
     if wanted is None:
@@ -136,14 +155,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     score is the alignment's over the item's words, 1.0 for a whole copy; end_word is where the copy ends.
     """
     texts = id_text(docs, id_col, text_col)
-    items = id_text(benchmark, "item_id").select(F.col("doc_id").alias("item_id"), "text").distinct()
-    grams = written(benchmark_grams(items), "grams")
+    items = id_text(benchmark, "item_id").select(F.xxhash64("doc_id", "text").alias("item_key"), F.col("doc_id").alias("item_id"), "text").distinct()
+    grams, words = written(benchmark_grams(items), "grams"), written(item_words(items), "items")
     n_grams = grams.count()
-    hits = written(gram_hits(texts, grams, n_grams).distinct(), "seeds")
-    seeds = hits.join(broadcast_if_small(grams, n_grams, CANDIDATE_BYTES), "gram")
-    per_item = seeds.groupBy("doc_id", "item_id", "item_words").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("begins"))
+    sizes = words.select(F.least(F.size("item_words"), F.lit(SEED)).alias("n")).filter(F.col("n") >= LEAST_WORDS).distinct()
+    hits = written(gram_hits(texts, grams, n_grams, sorted(r["n"] for r in sizes.collect())).distinct(), "seeds")
+    seeds = hits.join(broadcast_if_small(grams, n_grams, GRAM_BYTES), "gram")
+    per_item = seeds.groupBy("doc_id", "item_key").agg(F.collect_set(F.col("pos") - F.col("item_pos")).alias("begins"))
+    per_item = per_item.join(broadcast_if_bytes(words, F.size("item_words") * 8 + 32), "item_key")
     per_doc = written(per_item.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item_words", "begins")).alias("seeds")), "candidates")
-    candidates = texts.join(broadcast_if_small(per_doc, per_doc.count(), 4 * CANDIDATE_BYTES), "doc_id").select("doc_id", "text", "seeds")
+    seed_bytes = F.aggregate("seeds", F.lit(32).cast("long"), lambda n, s: n + (F.size(s["item_words"]) + F.size(s["begins"])) * 8 + 64)
+    candidates = texts.join(broadcast_if_bytes(per_doc, seed_bytes), "doc_id").select("doc_id", "text", "seeds")
     found = candidates.mapInArrow(_aligned, "doc_id long, item_id long, score double, end_word long, item_words long")
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", F.col("end_word"), "item_words")).alias("b")).select("doc_id", "item_id", F.round("b.score", 6).alias("score"), "b.end_word", "b.item_words")
 

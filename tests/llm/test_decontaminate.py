@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyweave.llm import decontaminate
 from tests.llm.helpers import awkward, docs, edited, prose
@@ -71,3 +72,49 @@ def test_awkward(spark):
     assert decontaminate.contaminated(awkward(spark), items(spark, [])).count() == 0
     d = docs(spark, [(1, "x a b c d e y"), (2, "clean"), (None, "a b c d e"), (3, None)])
     assert [str(r["doc_id"]) for r in decontaminate.keep_clean(d, bench).orderBy("doc_id").collect()] == ["None", "2", "3"]
+
+
+def test_short_items_match_as_a_whole(spark):
+    bench = items(spark, [(1, "Blue moon"), (2, "one two three"), (3, "word"), (4, "...")])
+    d = docs(spark, [(1, "the blue, MOON rose"), (2, "a word of one two"), (3, "moon blue"), (4, "one two three")])
+    assert sorted(tuple(r)[:3] for r in decontaminate.contaminated(d, bench).collect()) == [(1, 1, 1.0), (4, 2, 1.0)]
+
+
+def test_whole_query_against_every_pair(spark):
+    """All documents against all items by the full table, where an item's four words in a row occur at all."""
+    bench = [(k, prose(k, 8 + 9 * k, 300)) for k in range(5)] + [(5, "w1 w2 w3")]
+    rows = []
+    for k in range(60):
+        words = prose(900 + k, 40, 300).split()
+        item = bench[k % 6][1].split()
+        rows.append((k, " ".join(words[:20] + edited(" ".join(item[: 2 + (k * 7) % len(item)]), k, 0.1 * (k % 4)).split() + words[20:])))
+    want = {}
+    for d, text in rows:
+        words = text.split()
+        for i, item in bench:
+            m = item.split()
+            n = min(4, len(m))
+            grams = {tuple(words[a : a + n]) for a in range(len(words) - n + 1)}
+            if any(tuple(m[a : a + n]) in grams for a in range(len(m) - n + 1)) and (score := smith_waterman(m, words) / len(m)) >= 0.5:
+                want[d, i] = round(score, 6)
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs(spark, rows), items(spark, bench)).collect()}
+    assert got == want and len(want) > 10
+
+
+def test_words_of_a_long_item_are_measured_before_a_broadcast(spark, monkeypatch):
+    """Rows are few but not small: what counts is their bytes."""
+    from tallyweave.operators import materialize
+
+    long = items(spark, [(1, prose(1, 3000, 10**6))])
+    words = materialize.written(decontaminate.item_words(long.select("doc_id", "item_id", "text")), "items")
+    sized = lambda: "ResolvedHint" in materialize.broadcast_if_bytes(words, F.size("item_words") * 8 + 32)._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(materialize, "BROADCAST_BYTES", 24_000)
+    assert not sized()
+    monkeypatch.setattr(materialize, "BROADCAST_BYTES", 24_100)
+    assert sized()
+
+
+def test_columns_that_differ_in_case(spark):
+    d = docs(spark, [(1, "x a b c d e y"), (2, "clean")]).withColumnRenamed("lang", "Text")
+    kept = decontaminate.keep_clean(d, items(spark, [(4, "a b c d e")]))
+    assert kept.columns == d.columns and [r[0] for r in kept.collect()] == [2]
