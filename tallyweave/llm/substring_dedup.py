@@ -12,8 +12,16 @@ context in. So automata are as small as their shard, no shard is matched against
 work grows with the input. (One automaton of a whole shard of the corpus, broadcast against every document, would grow
 with its square.)
 
+No anchor is one task's burden. Which anchors are shared, and which document is a context's first, are grouped
+aggregates with partial ones before the shuffle; rows then meet those results in joins whose other side has one row a
+key, so adaptive execution can split a hot key. An anchor with more than HOT different contexts has no automaton:
+its contexts lie one on another at the anchor, so a run of MIN_WORDS words around it is one of MIN_WORDS - K + 1 windows,
+and the least document of each window's hash says who had it first, by aggregates again. The spans are the same.
+
 Words are separated by white space; case and punctuation count. Defined results: null ids and texts and texts of fewer
-than MIN_WORDS words lose nothing; a passage that repeats only inside one document stays, as do repeated rows of one id.
+than MIN_WORDS words (empty ones too) lose nothing; long texts are read whole, in time in proportion to their length; a
+passage that repeats only inside one document stays, as do repeated rows of one id; of documents with a passage the least
+id keeps it; an empty table gives an empty result; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -27,10 +35,10 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.common import id_text, table
 from tallyweave.llm.textgrams import SPACES, between, blocks, slices, sliding_argmin
-from tallyweave.operators.materialize import broadcast_if_small, written
+from tallyweave.operators.materialize import broadcast_if_bytes, broadcast_if_small, written
 
-MIN_WORDS, K = 50, 10
-SPAN_BYTES = 64
+MIN_WORDS, K, HOT = 50, 10, 1024
+ANCHOR_BYTES, CONTEXT_BYTES, SPAN_BYTES = 24, 40, 64
 
 
 class SuffixAutomaton:
@@ -129,18 +137,31 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(context.view(np.int64)), ids, pa.array((lo - b.offset[d]).astype(np.int32)), pa.array((hi - b.offset[d]).astype(np.int32))], names=names)
 
 
+_PARTS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("los", pa.list_(pa.int32())), ("words", pa.string()), ("gram", pa.int64())])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, [(anchor, los, n)]) to (anchor, doc_id, los, words): the contexts, cut out of their text."""
+    """(doc_id, text, few, many), both [(anchor, los, n)], to (anchor, doc_id, los, words, gram).
+
+    Of ``few`` come the words of each context, of ``many`` the hashes of the windows of MIN_WORDS words in it.
+    """
     for batch in slices(batches):
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-            words = _words(text)
-            for w in wanted:
+        out: tuple[list, ...] = ([], [], [], [], [])
+        for doc, text, few, many in zip(*(c.to_pylist() for c in batch.columns)):
+            words = _words(text) if few else []
+            for w in few:
                 lo = w["los"][0]
-                for column, value in zip(out, (w["anchor"], doc, w["los"], " ".join(words[lo : lo + w["n"]]))):
+                for column, value in zip(out, (w["anchor"], doc, w["los"], " ".join(words[lo : lo + w["n"]]), None)):
                     column.append(value)
+            sums = next(blocks([text], SPACES)).sums() if many else None
+            for w in many:
+                for lo in w["los"]:
+                    at = np.arange(lo, lo + w["n"] - MIN_WORDS + 1)
+                    for a, gram in zip(at.tolist(), between(sums, at, at + MIN_WORDS).view(np.int64).tolist()):
+                        for column, value in zip(out, (w["anchor"], doc, [a], None, gram)):
+                            column.append(value)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.string())], names=["anchor", "doc_id", "los", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PARTS)], schema=_PARTS)
 
 
 _BLANKS = str.maketrans("\t\n\f\r", "    ")
@@ -180,23 +201,30 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lo, hi): word ranges of each document that a document of a smaller id has too, not yet merged."""
     texts = id_text(docs, id_col, text_col)
-    rows = texts.mapInArrow(_anchors, "anchor long, context long, doc_id long, lo int, hi int")
-    of_anchor, of_context = Window.partitionBy("anchor"), Window.partitionBy("anchor", "context")
-    shared = rows.repartition("anchor").select(
-        "*",
-        F.min("doc_id").over(of_context).alias("first"),
-        (F.min("context").over(of_anchor) != F.max("context").over(of_anchor)).alias("mixed"),
-        (F.min("doc_id").over(of_anchor) != F.max("doc_id").over(of_anchor)).alias("shared"),
-    )
-    shared = written(shared.filter("shared and (mixed or doc_id > first)").drop("shared"), "anchors")
-    whole = shared.filter("doc_id > first").select("doc_id", "lo", "hi")
-    open_ = shared.filter("doc_id = first and mixed")
+    rows = written(texts.mapInArrow(_anchors, "anchor long, context long, doc_id long, lo int, hi int"), "anchors")
+    of_anchor = rows.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("context") != F.max("context")).alias("mixed"))
+    shared = written(of_anchor.filter("a < b").select("anchor", "mixed"), "shared")
+    met = written(rows.join(broadcast_if_small(shared, shared.count(), ANCHOR_BYTES), "anchor"), "met")
+    contexts = written(met.groupBy("anchor", "context").agg(F.min("doc_id").alias("first")), "contexts")
+    placed = met.join(broadcast_if_small(contexts, contexts.count(), CONTEXT_BYTES), ["anchor", "context"])
+    whole = placed.filter("doc_id > first").select("doc_id", "lo", "hi")
+    open_ = placed.filter("doc_id = first and mixed")
     # a document of one repeated word has the same context at every word: it is matched once
     alike = open_.repartition("doc_id").groupBy("doc_id", "anchor", "context").agg(F.sort_array(F.collect_set("lo")).alias("los"), F.first(F.col("hi") - F.col("lo")).alias("n"))
-    wanted = alike.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "los", "n")).alias("wanted"))
-    contexts = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut, "anchor long, doc_id long, los array<int>, words string")
-    partial = contexts.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_matched, "doc_id long, lo int, hi int")
-    return written(whole.unionByName(partial).distinct(), "spans")
+    hot = written(contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
+    n_hot = hot.count()
+    alike = alike.join(broadcast_if_small(hot, n_hot, ANCHOR_BYTES), "anchor", "left")
+    wanted = alike.groupBy("doc_id").agg(*(F.collect_list(F.when(F.coalesce("hot", F.lit(False)) == is_hot, F.struct("anchor", "los", "n"))).alias(name) for name, is_hot in (("few", False), ("many", True))))
+    parts = texts.join(wanted, "doc_id").select("doc_id", "text", "few", "many").mapInArrow(_cut, "anchor long, doc_id long, los array<int>, words string, gram long")
+    parts = written(parts, "parts") if n_hot else parts
+    cut = parts.filter("words is not null").select("anchor", "doc_id", "los", "words")
+    spans = whole.unionByName(cut.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_matched, "doc_id long, lo int, hi int"))
+    if n_hot:
+        windows = parts.filter("gram is not null").select("anchor", "gram", "doc_id", F.get("los", F.lit(0)).alias("lo"))
+        firsts = windows.groupBy("anchor", "gram").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+        again = windows.join(firsts, ["anchor", "gram"]).filter("doc_id > first")
+        spans = spans.unionByName(again.select("doc_id", "lo", (F.col("lo") + MIN_WORDS).alias("hi")))
+    return written(spans.distinct(), "spans")
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -212,7 +240,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, spans) to the text without the words of the spans, each with the blanks before it."""
     import re
 
-    word = re.compile(r"[\t\n\f\r ]*[^\t\n\f\r ]+")
+    word = re.compile(r"[^\t\n\f\r ]+")
     schema = pa.schema([("doc_id", pa.int64()), ("n_spans", pa.int32()), ("removed_words", pa.int64()), ("spans", pa.string()), ("clean_text", pa.string())])
     for batch in slices(batches):
         rows = []
@@ -234,7 +262,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spans = repeated_spans(docs, id_col, text_col)
     gone = written(merged(spans), "merged")
-    texts = id_text(docs, id_col, text_col).join(broadcast_if_small(gone, gone.count(), SPAN_BYTES * 4), "doc_id").select("doc_id", "text", "spans")
+    texts = id_text(docs, id_col, text_col).join(broadcast_if_bytes(gone, F.size("spans") * 16 + SPAN_BYTES), "doc_id").select("doc_id", "text", "spans")
     return texts.mapInArrow(_removed, "doc_id long, n_spans int, removed_words long, spans string, clean_text string").distinct()
 
 

@@ -24,3 +24,19 @@ def awkward(spark):
     """Nulls, empty and very long texts, repeated rows."""
     long = prose(1, 30_000)
     return docs(spark, [(None, "no id"), (1, None), (2, ""), (3, ""), (4, long), (5, long), (5, long), (6, " \n "), (None, None)])
+
+
+def same_as_sql(spark, name, folder="/root/testdata/sf0.001"):
+    """Whether a registered query gives the rows of its SQL."""
+    import duckdb
+
+    from tallyweave.llm import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    cursor = con.execute(registry.oracle_sql()[name])
+    columns = [d[0] for d in cursor.description]
+    want = sorted(repr([v for _, v in sorted(zip(columns, r))]) for r in cursor.fetchall())
+    got = registry.queries()[name](spark, folder)
+    return sorted(got.columns) == sorted(columns) and sorted(repr([r[c] for c in sorted(columns)]) for r in got.collect()) == want

@@ -1,7 +1,8 @@
 import random
+import time
 
 from tallyweave.llm import substring_dedup as s
-from tests.llm.helpers import awkward, docs, prose
+from tests.llm.helpers import awkward, docs, prose, same_as_sql
 
 
 def brute(rows, least):
@@ -48,6 +49,43 @@ def test_against_brute_force(spark):
     assert spans(s.without_repeats(docs(spark, rows))) == brute(rows, s.MIN_WORDS)
 
 
+def test_hot_anchors_give_the_same_spans(spark, monkeypatch):
+    """The windows of an anchor with many contexts, and the automaton, against brute force; with HOT 0 every anchor is hot."""
+    r = random.Random(9)
+    core = prose(77, 70).split()
+    rows = []
+    for i in range(300):
+        a, b = r.randrange(0, 20), r.randrange(50, 71)
+        rows.append((i, " ".join([*prose(i, r.randrange(0, 60)).split(), *core[a:b], *prose(i + 5000, r.randrange(0, 60)).split()])))
+    rows += [(400, rows[7][1]), (401, "the " * 90), (402, "the " * 120), (403, "a " * 60 + rows[9][1])]
+    want = brute(rows, s.MIN_WORDS)
+    assert len(want) > 150
+    for hot in (1024, 20, 0):
+        monkeypatch.setattr(s, "HOT", hot)
+        assert spans(s.without_repeats(docs(spark, rows))) == want
+
+
+def test_one_anchor_in_very_many_contexts(spark):
+    """100,000 documents share ten words and nothing more, but for a few; no task has them all."""
+    middle = prose(8, 10, 10**6)
+    around = lambda k: (prose(3 * k, 45, 10**6), prose(3 * k + 1, 45, 10**6))
+    rows = [(k, f"{around(k)[0]} {middle} {around(k)[1]}") for k in range(100_000)]
+    rows += [(200_000 + k, f"x {' '.join(around(k)[0].split()[5:])} {middle} {' '.join(around(k)[1].split()[:3])} y") for k in range(50)]
+    assert spans(s.without_repeats(docs(spark, rows))) == {200_000 + k: "1-54" for k in range(50)}
+
+
+def test_blanks_and_long_texts_take_time_in_proportion(spark):
+    shared = prose(2, 60)
+    rows = [(1, shared + " " * 1_000_000), (2, "x " + shared + " " * 1_000_000), (3, "\n" * 1_000_000), (4, "w " * 400_000)]
+    began = time.perf_counter()
+    got = s.without_repeats(docs(spark, rows)).collect()
+    assert [(r["doc_id"], len(r["clean_text"])) for r in got] == [(2, 1_000_001)] and time.perf_counter() - began < 60
+
+
+def test_oracle_sql(spark):
+    assert same_as_sql(spark, "op3_repeated_passages")
+
+
 def test_a_join_of_two_earlier_matches_is_known(spark):
     rows = []
     for seed in range(60):
