@@ -6,8 +6,13 @@ The samples, taken as a set of (index, value) pairs, are folded into a bitmap of
 flips one bit, so the exclusive or of two bitmaps is the bitmap of their symmetric difference. With p the share of
 bits set in it, the difference has about -BITS/2 * ln(1 - 2p) elements, and the similarity is one minus that over 2K.
 
-Defined results: a row with a null id or text, or a text without words, is in no group; fewer than SHINGLE words are
-one shingle of them all; equal texts always meet; a repeated row counts as one document.
+No bucket is one task's burden. Buckets are counted by aggregates with partial ones before the shuffle. A bucket of more
+than HOT documents is cut into blocks: all of its documents meet its first one, and those that aren't linked with it meet
+every block of the bucket. So each pair in a bucket that the sketches verify is in one component, as if all had met.
+
+Defined results: a row with a null id or text, or a text without words (an empty one), is in no group; fewer than SHINGLE
+words are one shingle of them all; long texts are read whole; equal texts always meet; a repeated row counts as one
+document; of a group the least id is kept; an empty table gives an empty result; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -17,15 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 from tallyweave.llm.common import id_text, table, without_ids
 from tallyweave.llm.textgrams import FOLDED, between, blocks, mixed, slices
-from tallyweave.operators.materialize import written
+from tallyweave.operators.materialize import broadcast_if_small, written
 
 SHINGLE, BANDS, ROWS, BITS, THRESHOLD = 2, 40, 5, 512, 0.6
+HOT = 8192
+BUCKET_BYTES, LEAD_BYTES = 32, 40 + BITS // 8
 
 _rng = np.random.default_rng(20_240_607)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -121,20 +128,16 @@ def _linked(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket, then id, to the edges (doc_id, least linked id); a bucket may span batches."""
+    """Rows sorted by bucket and part, then id, to the edges (doc_id, least linked id); a part may span batches.
+
+    Batches are held until the part changes and are put together once.
+    """
     held: list[pa.RecordBatch] = []
 
-    def edges(tables: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
-        t = pa.Table.from_batches(tables).combine_chunks()
-        band, bh = t["band"].to_numpy(), t["bh"].to_numpy()
-        cut = np.flatnonzero((band[1:] != band[:-1]) | (bh[1:] != bh[:-1])) + 1
-        if not last:
-            if not len(cut):
-                return None, tables
-            rest = t.slice(int(cut[-1])).to_batches()
-            t, cut = t.slice(0, int(cut[-1])), cut[:-1]
-        else:
-            rest = []
+    def edges(batches: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        keys = [t[c].to_numpy() for c in ("band", "bh", "part")]
+        cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         ids = t["doc_id"].to_numpy()
         bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint64).reshape(len(ids), BITS // 64)
         src, dst = [], []
@@ -149,18 +152,73 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 src.append(ids[lo:hi][moved])
                 dst.append(root[moved])
         if not src:
-            return None, rest
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"]), rest
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+
+    def last_key(batch: pa.RecordBatch, at: int) -> tuple:
+        return tuple(batch.column(k)[at].as_py() for k in range(3))
 
     for batch in batches:
-        if batch.num_rows:
-            out, held = edges([*held, batch], last=False)
+        if not batch.num_rows:
+            continue
+        end = last_key(batch, batch.num_rows - 1)
+        if last_key(batch, 0) == end:
+            start = 0
+        else:
+            same = np.all([batch.column(k).to_numpy(zero_copy_only=False) == end[k] for k in range(3)], axis=0)
+            start = int(np.flatnonzero(~same)[-1]) + 1
+        if held and (start or last_key(held[-1], 0) != end):
+            out = edges([*held, batch.slice(0, start)])
+            held = []
             if out is not None:
                 yield out
-    if held:
-        out, _ = edges(held, last=True)
-        if out is not None:
-            yield out
+        elif start:
+            out = edges([batch.slice(0, start)])
+            if out is not None:
+                yield out
+        held.append(batch.slice(start))
+    if held and (out := edges(held)) is not None:
+        yield out
+
+
+def _blocks_of(n: Column) -> Column:
+    return F.ceil(n / HOT).cast("int")
+
+
+@F.pandas_udf(BooleanType())
+def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
+    if not len(a):
+        return pd.Series([], dtype="bool")
+    x = np.frombuffer(b"".join(a), dtype=np.uint64) ^ np.frombuffer(b"".join(b), dtype=np.uint64)
+    return pd.Series(np.bitwise_count(x).reshape(len(a), -1).sum(axis=1) <= MOST_BITS)
+
+
+def _compared(members: DataFrame) -> DataFrame:
+    """(src, dst) of (band, bh, part, doc_id, sketch), all documents of a part against each other."""
+    rows = members.select("band", "bh", "part", "doc_id", "sketch").repartition("band", "bh", "part")
+    return rows.sortWithinPartitions("band", "bh", "part", "doc_id").mapInArrow(_bucket_edges, "src long, dst long")
+
+
+def _hot_edges(members: DataFrame, sketches_: DataFrame) -> DataFrame:
+    """The edges of the buckets of more than HOT documents. ``members`` has (band, bh, n, lead, doc_id, sketch)."""
+    buckets = members.groupBy("band", "bh").agg(F.first("lead").alias("lead"))
+    leads = written(buckets.join(sketches_.select(F.col("doc_id").alias("lead"), F.col("sketch").alias("lead_sketch")), "lead").select("band", "bh", "lead_sketch"), "leads")
+    met = members.join(broadcast_if_small(leads, leads.count(), LEAD_BYTES), ["band", "bh"])
+    met = written(met.select("band", "bh", "n", "lead", "doc_id", "sketch", _verified("sketch", "lead_sketch").alias("close")), "met")
+    star = met.filter("close and doc_id <> lead").select(F.col("doc_id").alias("src"), F.col("lead").alias("dst"))
+    far = met.filter("not close").drop("close")
+    left = written(far.groupBy("band", "bh").agg(F.count("*").alias("u")), "far")
+    n_left = left.count()
+    if not n_left:
+        return star
+    # each document that the first isn't linked with, in its block, beside each block of the whole bucket
+    mine = lambda df: df.join(broadcast_if_small(left, n_left, BUCKET_BYTES), ["band", "bh"])
+    rows, columns = _blocks_of(F.col("n")), _blocks_of(F.col("u"))
+    block = lambda of, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), of).cast("int")
+    all_ = mine(met.drop("close")).select("band", "bh", "doc_id", "sketch", block(rows, 1).alias("i"), columns.alias("k")).select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    some = mine(far).select("band", "bh", "doc_id", "sketch", block(columns, 2).alias("j"), columns.alias("k"), rows.alias("r")).select("*", F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("i"))
+    pairs = all_.select("band", "bh", "doc_id", "sketch", "i", "j", "k").unionByName(some.select("band", "bh", "doc_id", "sketch", "i", "j", "k"))
+    return star.unionByName(_compared(pairs.withColumn("part", F.col("i") * F.col("k") + F.col("j"))))
 
 
 def verified_edges(signed: DataFrame) -> DataFrame:
@@ -170,15 +228,15 @@ def verified_edges(signed: DataFrame) -> DataFrame:
     a bucket bring their sketch along.
     """
     keys = signed.select("doc_id", F.posexplode("bands").alias("band", "bh"))
-    shared = keys.withColumn("n", F.count("*").over(Window.partitionBy("band", "bh"))).filter("n > 1").drop("n")
+    buckets = written(keys.groupBy("band", "bh").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).filter("n > 1"), "buckets")
+    n_buckets, largest = buckets.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    shared = keys.join(broadcast_if_small(buckets, n_buckets, BUCKET_BYTES), ["band", "bh"])
     members = shared.join(signed.select("doc_id", "sketch"), "doc_id")
-    return (
-        members.select("band", "bh", "doc_id", "sketch")
-        .repartition("band", "bh")
-        .sortWithinPartitions("band", "bh", "doc_id")
-        .mapInArrow(_bucket_edges, "src long, dst long")
-        .distinct()
-    )
+    if largest <= HOT:
+        return _compared(members.withColumn("part", F.lit(0))).distinct()
+    members = written(members, "members")
+    few = _compared(members.filter(F.col("n") <= HOT).withColumn("part", F.lit(0)))
+    return few.unionByName(_hot_edges(members.filter(F.col("n") > HOT), signed)).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

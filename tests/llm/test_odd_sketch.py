@@ -97,3 +97,39 @@ def test_links_are_the_components_of_all_pairs():
         pairs = [(a, b) for a in range(40) for b in range(a) if np.bitwise_count(bits[a] ^ bits[b]).sum() <= odd_sketch.MOST_BITS]
         want = groups(pairs)
         assert odd_sketch._linked(ids, bits).tolist() == [want.get(i, i) for i in range(40)]
+
+
+def test_hot_buckets_lose_no_link(spark, monkeypatch):
+    """One bucket of 160 documents, chains included, cut into blocks of 8, and whole: the components of all pairs."""
+    rng = np.random.default_rng(3)
+    n = 160
+    bits = rng.integers(0, 1 << 63, (n, odd_sketch.BITS // 64), dtype=np.uint64)
+    for k in range(1, n):
+        if rng.random() < 0.8:
+            flips = np.zeros(odd_sketch.BITS, dtype=np.uint8)
+            flips[rng.choice(odd_sketch.BITS, odd_sketch.MOST_BITS - rng.integers(0, 40), replace=False)] = 1
+            bits[k] = bits[0 if rng.random() < 0.4 else rng.integers(0, k)] ^ np.packbits(flips).view(np.uint64)
+    want = groups([(a, b) for a in range(n) for b in range(a) if np.bitwise_count(bits[a] ^ bits[b]).sum() <= odd_sketch.MOST_BITS])
+    signed = spark.createDataFrame([(k, [7, k % 5], bytearray(bits[k].tobytes())) for k in range(n)], "doc_id long, bands array<long>, sketch binary")
+    assert len(want) > 60
+    for hot in (8, 30, 8192):
+        monkeypatch.setattr(odd_sketch, "HOT", hot)
+        assert {r["doc_id"]: r["root"] for r in odd_sketch.components(odd_sketch.verified_edges(signed)).collect() if r["doc_id"] != r["root"]} == want
+
+
+def test_a_bucket_over_many_batches(spark, monkeypatch):
+    """Batches of two rows give the same edges as one."""
+    import pyarrow as pa
+
+    rows = sorted((b, h, 0, d) for d in range(40) for b, h in ((0, d % 3), (1, 5)))
+    bits = [bytes([d % 2] * (odd_sketch.BITS // 8)) for *_, d in rows]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)] + [pa.array(bits, pa.binary())], names=["band", "bh", "part", "doc_id", "sketch"])
+    edges = lambda batches: sorted((s, t) for b in odd_sketch._bucket_edges(iter(batches)) for s, t in zip(*(c.to_pylist() for c in b.columns)))
+    assert edges([whole.slice(k, 2) for k in range(0, whole.num_rows, 2)]) == edges([whole]) != []
+    assert edges([whole.slice(k, 7) for k in range(0, whole.num_rows, 7)]) == edges([whole])
+
+
+def test_columns_that_differ_in_case(spark):
+    d = docs(spark, [(1, "a b c d e"), (2, "a b c d e")]).withColumnRenamed("lang", "Text")
+    kept = odd_sketch.keep_first(d)
+    assert kept.columns == d.columns and [r[0] for r in kept.collect()] == [1]
