@@ -4,8 +4,14 @@ Each text is cut into sentences, each sentence is normalised and looked up among
 identifiers found is matched against ordered rules: a rule's sentences must occur in its order, others may lie between.
 A rule whose sentences are part of another matching rule's gives way to it.
 
-Defined results: null ids and texts, and texts without a known sentence, give no rows; a licence stated twice is one
-row; repeated rows of an id count as one. A line that starts in lower case goes on with the line before.
+A text is cut in two ways, as notices of one line and as wrapped pages, and a rule may match either: by lines, where a
+line break ends a sentence unless the next line starts in lower case; and by paragraphs, where only a line without
+letters and digits does. Comment marks, indents, stars and list numbers are punctuation and fall away as such.
+
+Defined results: null ids and texts, and texts without a known sentence (empty ones too), give no rows; long texts are
+read whole, in time in proportion to their length; a licence stated twice is one row, and of sentences at one place (a
+tie can't occur within a cut) the order is the text's; repeated rows of an id count as one, different texts of one id are
+one text after another; an empty table gives no rows; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -14,51 +20,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.common import id_text, table
+from tallyweave.llm.license_data import RULES, SENTENCES, TRIGGERS
 
-#: identifier: sentence as normalised (lower case, letters and digits, single spaces)
-SENTENCES = {
-    "apache_grant": "licensed under the apache license version 2 0",
-    "apache_comply": "you may not use this file except in compliance with the license",
-    "apache_copy": "you may obtain a copy of the license at",
-    "apache_asis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "ccbync_grant": "licensed under cc by nc 4 0",
-    "ccby_grant": "licensed under cc by 4 0",
-    "ccbysa_grant": "licensed under cc by sa 4 0",
-    "gpl3_grant": "this work is licensed under the gnu general public license version 3",
-    "gpl_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl_hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "gpl_copy": "you should have received a copy of the gnu general public license along with this program",
-    "mit_grant": "released under the mit license",
-    "mit_permission": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit_notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "bsd_redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd_endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "reserved": "all rights reserved",
-    "public_domain": "this work has been released into the public domain",
-}
-
-#: (rule, licence, sentence identifiers in order)
-RULES = [
-    ("apache_short", "Apache-2.0", ("apache_grant",)),
-    ("apache_header", "Apache-2.0", ("apache_grant", "apache_comply", "apache_copy", "apache_asis")),
-    ("cc_by_nc", "CC-BY-NC-4.0", ("ccbync_grant",)),
-    ("cc_by", "CC-BY-4.0", ("ccby_grant",)),
-    ("cc_by_sa", "CC-BY-SA-4.0", ("ccbysa_grant",)),
-    ("gpl3_short", "GPL-3.0-only", ("gpl3_grant",)),
-    ("gpl3_header", "GPL-3.0-or-later", ("gpl_free", "gpl_hope", "gpl_copy")),
-    ("mit_short", "MIT", ("mit_grant",)),
-    ("mit_text", "MIT", ("mit_permission", "mit_notice")),
-    ("mit_titled", "MIT", ("mit_grant", "mit_permission", "mit_notice")),
-    ("bsd_2", "BSD-2-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary")),
-    ("bsd_3", "BSD-3-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_endorse")),
-    ("reserved", "proprietary", ("reserved",)),
-    ("public_domain", "public-domain", ("public_domain",)),
-]
-#: Each known sentence has one of these, so a text without any has no known sentence.
-TRIGGERS = ("licen", "permission", "redistribution", "rights reserved", "public domain", "endorse", "this program is")
-WRAP, BREAK = r"\n([a-z])", r"[.!?]+\s+|\n+"
+#: Marks that end a sentence come singly before a cut, so that a run of them costs its length and not its square.
+RUN, WRAP = r"([.!?;:])[.!?;:]+", r"\n([a-z])"
+END = r"""[.!?;:]["')\]}]*[ \t\r\n\f]+"""
+LINES, PAGE = END + r"|\n+", END + r"|\n[^A-Za-z0-9\n]*\n"
 
 
 def _within(short: tuple[str, ...], long: tuple[str, ...]) -> bool:
@@ -75,35 +42,38 @@ def _normal(sentence: Column) -> Column:
 
 
 def sentence_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sequence): the identifiers of the known sentences of a text, in order, with blanks around each."""
-    assert all(any(t in s for t in TRIGGERS) for s in SENTENCES.values())
+    """(doc_id, by_line, by_page): the identifiers of the known sentences of a text, in order, with blanks around each."""
     texts = id_text(docs, id_col, text_col)
     low = F.lower("text")
-    maybe = low.contains(TRIGGERS[0])
-    for t in TRIGGERS[1:]:
+    maybe = F.lit(False)
+    for t in TRIGGERS:
         # the blanks of a trigger may be a line break or several blanks in the text
         maybe |= low.contains(t) if " " not in t else low.rlike(t.replace(" ", "[^a-z0-9]+"))
-    cut = F.split(F.regexp_replace("text", WRAP, " $1"), BREAK)
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(s, i) for i, s in SENTENCES.items()], "sentence string, sid string")
-    rows = texts.filter(maybe).distinct().select("doc_id", F.posexplode(cut).alias("pos", "raw")).select("doc_id", "pos", _normal(F.col("raw")).alias("sentence"))
-    found = rows.join(F.broadcast(known), "sentence")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "sid"))), lambda s: s["sid"])
-    return found.groupBy("doc_id").agg(F.concat(F.lit(" "), F.array_join(ordered, "  "), F.lit(" ")).alias("sequence"))
+    body = F.regexp_replace("text", RUN, "$1")
+    cuts = F.array(F.split(F.regexp_replace(body, WRAP, " $1"), LINES), F.split(body, PAGE))
+    known = docs.sparkSession.createDataFrame(list(SENTENCES.items()), "sentence string, sid string")
+    rows = texts.filter(maybe).distinct().select("doc_id", F.posexplode(cuts).alias("cut", "parts")).select("doc_id", "cut", F.posexplode("parts").alias("pos", "raw"))
+    found = rows.select("doc_id", "cut", "pos", _normal(F.col("raw")).alias("sentence")).join(F.broadcast(known), "sentence")
+
+    def sequence(cut: int) -> Column:
+        ordered = F.array_sort(F.collect_list(F.when(F.col("cut") == cut, F.struct("pos", "sid"))))
+        return F.concat(F.lit(" "), F.array_join(F.transform(ordered, lambda s: s["sid"]), "  "), F.lit(" "))
+
+    return found.groupBy("doc_id").agg(sequence(0).alias("by_line"), sequence(1).alias("by_page"))
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, rule, licence, sentences): a row for each rule that a text meets and no longer matching rule holds."""
-    seq = F.col("sequence")
-    matched = {name: seq.rlike(_pattern(ids)) for name, _, ids in RULES}
+    matched = {name: F.col("by_line").rlike(_pattern(ids)) | F.col("by_page").rlike(_pattern(ids)) for name, _, ids in RULES}
+    met = sentence_sequences(docs, id_col, text_col).select("doc_id", *(c.alias(name) for name, c in matched.items()))
     found = []
     for name, licence, ids in RULES:
-        holds = matched[name]
+        holds = F.col(name)
         for other, _, more in RULES:
             if _within(ids, more):
-                holds &= ~matched[other]
+                holds &= ~F.col(other)
         found.append(F.when(holds, F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("licence"), F.lit(len(ids)).alias("sentences"))))
-    rows = sentence_sequences(docs, id_col, text_col).select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("m"))
+    rows = met.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("m"))
     return rows.select("doc_id", "m.rule", "m.licence", "m.sentences")
 
 
@@ -113,18 +83,19 @@ def op9_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({q(s)}, {q(i)})" for i, s in SENTENCES.items())
+    known = ", ".join(f"({q(s)}, {q(i)})" for s, i in SENTENCES.items())
     rules = ", ".join(f"({q(n)}, {q(c)}, {len(i)}, {q(_pattern(i))})" for n, c, i in RULES)
     longer = ", ".join(f"({q(a)}, {q(b)})" for a, _, i in RULES for b, _, j in RULES if _within(i, j))
     return f"""
 WITH known(sentence, sid) AS (VALUES {known}), rules(rule, licence, sentences, pattern) AS (VALUES {rules}),
      longer(short, long) AS (VALUES {longer}),
-     cut AS (SELECT doc_id, string_split_regex(regexp_replace(text, '\\n([a-z])', ' \\1', 'g'), '[.!?]+\\s+|\\n+') AS parts
-             FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
-     rows AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) AS pos FROM cut),
-     found AS (SELECT doc_id, pos, sid FROM rows JOIN known ON trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) = sentence),
-     seqs AS (SELECT doc_id, ' ' || string_agg(sid, '  ' ORDER BY pos, sid) || ' ' AS sequence FROM found GROUP BY doc_id),
-     m AS (SELECT doc_id, rule, licence, sentences FROM seqs, rules WHERE regexp_matches(sequence, pattern))
+     body AS (SELECT doc_id, regexp_replace(text, {q(RUN)}, '\1', 'g') AS t FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+     cut AS (SELECT doc_id, 0 AS way, string_split_regex(regexp_replace(t, {q(WRAP)}, ' \1', 'g'), {q(LINES)}) AS parts FROM body
+             UNION ALL SELECT doc_id, 1, string_split_regex(t, {q(PAGE)}) FROM body),
+     rows AS (SELECT doc_id, way, unnest(parts) AS raw, generate_subscripts(parts, 1) AS pos FROM cut),
+     found AS (SELECT doc_id, way, pos, sid FROM rows JOIN known ON trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) = sentence),
+     seqs AS (SELECT doc_id, way, ' ' || string_agg(sid, '  ' ORDER BY pos, sid) || ' ' AS sequence FROM found GROUP BY doc_id, way),
+     m AS (SELECT DISTINCT doc_id, rule, licence, sentences FROM seqs, rules WHERE regexp_matches(sequence, pattern))
 SELECT doc_id, rule, licence, sentences::INTEGER AS sentences FROM m
 WHERE NOT EXISTS (SELECT 1 FROM longer l JOIN m o ON o.rule = l.long WHERE l.short = m.rule AND o.doc_id = m.doc_id)
 """
