@@ -1,13 +1,16 @@
 """Not-modified revisits of web captures, resolved to the full response they stand for.
 
-Captures are ordered by time within a canonical URL. A revisit belongs to the latest earlier full response (an as-of
-join, done as a running last value in one sort). It is resolved when its validators agree: an ETag, compared weakly,
+Captures are ordered by time within a canonical URL. A revisit belongs to the latest earlier full response: an as-of
+join, done as a running last value within the URL and a stretch of SPAN seconds, and, where that stretch has none before
+it, as the last response of the stretches before. So a URL that holds a third of all captures is many tasks' work. A
+revisit is resolved when its validators agree: an ETag, compared weakly,
 decides if both sides have one; else Last-Modified must be equal; without a common validator there is no proof.
 The resolved record has the response's headers, overwritten by those that a 304 may change.
 
 Defined results: captures without URL or time stay unresolved and can't serve a revisit; at one instant responses come
 before revisits, and of several responses the one of the greatest id counts; header names are compared in lower case,
-and of names equal then, the last in map order wins; a null header map is empty; repeated rows give repeated results.
+and of names equal then, the last in map order wins; a null header map is empty; repeated rows give repeated results;
+an empty table gives no rows; headers and URLs of any length are read whole; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from tallyweave.llm.common import table
 
 #: What a 304 response may carry over to the stored one; content-* describes a body that it doesn't have.
 PERMITTED = ("age", "cache-control", "date", "etag", "expires", "last-modified", "server", "set-cookie", "vary", "via", "warning", "x-cache")
+SPAN = 30 * 86_400
 TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid|sessionid)(=|$)"
 
 
@@ -55,9 +59,16 @@ def resolved(captures: DataFrame) -> DataFrame:
     full = (F.col("kind") == "response") & known
     # rows without a key can't meet: each is its own partition
     lane = F.when(known, F.concat(F.lit("u"), "url_key")).otherwise(F.concat(F.lit("x"), F.coalesce(F.col("capture_id").cast("string"), F.lit(""))))
-    order = Window.partitionBy("lane").orderBy("ts", F.when(full, 0).otherwise(1), "capture_id").rowsBetween(Window.unboundedPreceding, 0)
-    source = F.last(F.when(full, F.struct(F.col("capture_id").alias("id"), F.col("headers").alias("headers"))), ignorenulls=True).over(order)
-    met = rows.withColumn("lane", lane).withColumn("source", source).filter("kind = 'revisit'")
+    stretch = F.floor(F.col("ts").cast("double") / SPAN)
+    rows = rows.withColumns({"lane": lane, "stretch": F.when(known, stretch), "full": full})
+    response = F.struct(F.col("capture_id").alias("id"), F.col("headers").alias("headers"))
+    order = Window.partitionBy("lane", "stretch").orderBy("ts", F.when(F.col("full"), 0).otherwise(1), "capture_id").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("near", F.last(F.when(F.col("full"), response), ignorenulls=True).over(order)).filter("kind = 'revisit'").drop("full")
+    # of each stretch its last response, then of each the last one before it
+    ends = rows.filter("stretch is not null").groupBy("lane", "stretch").agg(F.max_by(F.when(F.col("full"), response), F.when(F.col("full"), F.struct("ts", "capture_id"))).alias("end"))
+    before = Window.partitionBy("lane").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("lane", "stretch", F.last("end", ignorenulls=True).over(before).alias("far")).filter("far is not null")
+    met = met.join(carried, ["lane", "stretch"], "left").withColumn("source", F.coalesce("near", "far"))
     mine, theirs = _tag(F.col("headers")), _tag(F.col("source.headers"))
     modified, before = F.try_element_at("headers", F.lit("last-modified")), F.try_element_at("source.headers", F.lit("last-modified"))
     status = (

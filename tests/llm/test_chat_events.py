@@ -57,3 +57,9 @@ def test_logs_end_in_their_turns(spark):
     for c, _, role, text in turns:
         want[c] = want.get(c, "") + f"<|im_start|>{role or 'unknown'}\n{text or ''}<|im_end|>\n"
     assert got == want
+
+
+def test_oracle_sql(spark):
+    from tests.llm.helpers import same_as_sql
+
+    assert same_as_sql(spark, "op8_chat_events")

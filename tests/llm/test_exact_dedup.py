@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tallyweave.llm import exact_dedup
-from tests.llm.helpers import awkward, docs
+from tests.llm.helpers import awkward, docs, same_as_sql
 
 
 def rows(df):
@@ -52,3 +52,13 @@ def test_state_goes_on_over_runs(spark, tmp_path):
 def test_a_reused_id_costs_no_other_text(spark):
     d = docs(spark, [(0, "a"), (1, "a"), (1, "b")])
     assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.keep_first(d).collect()) == [(0, "a"), (1, "b")]
+
+
+def test_oracle_sql(spark):
+    assert same_as_sql(spark, "op4_exact_duplicates")
+
+
+def test_columns_that_differ_in_case(spark):
+    d = docs(spark, [(1, "a"), (2, "a"), (3, "b"), (3, "b")]).withColumnRenamed("lang", "Text").withColumnRenamed("keep", "_tw_id")
+    kept = exact_dedup.keep_first(d)
+    assert kept.columns == d.columns and sorted(r[0] for r in kept.collect()) == [1, 3]

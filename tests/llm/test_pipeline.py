@@ -1,8 +1,10 @@
 import os
 
+import pytest
+
 import corpus_pipeline
 from tallyweave.llm import exact_dedup, odd_sketch
-from tests.llm.helpers import docs, edited, prose
+from tests.llm.helpers import awkward, docs, edited, prose
 
 DATA = "/root/testdata/sf0.001"
 
@@ -40,3 +42,26 @@ def test_stages_keep_the_columns(spark, tmp_path):
     assert d.columns == docs(spark, []).columns
     assert corpus_pipeline.packed(spark, d, DATA).columns[0] == "doc_id"
     assert exact_dedup.exact_duplicates(d).count() == 0
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_every_stage_on_awkward_rows(spark, name):
+    """Nulls, empty and very long texts, repeated rows, clashing names, an empty table."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    d = awkward(spark).withColumnRenamed("lang", "Text").withColumnRenamed("keep", "_tw_text").withColumnRenamed("shard", "DOC_ID")
+    got = stage(spark, d, DATA)
+    rows = got.collect()
+    if name == "packing":
+        assert sorted(r["doc_id"] for r in rows) == [2, 3, 4, 5, 5, 6]
+    else:
+        assert got.columns == d.columns and sum(r[0] is None for r in rows) == 2 and sum(r[1] is None for r in rows) == 2
+        kept = {"exact_dedup": [1, 2, 4, 6], "near_dedup": [1, 2, 3, 4, 6]}.get(name, [1, 2, 3, 4, 5, 5, 6])
+        if name != "quality_rules":
+            assert sorted(r[0] for r in rows if r[0] is not None) == kept
+    assert stage(spark, d.limit(0), DATA).count() == 0
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.llm import revisits
-from tests.llm.helpers import prose
+from tests.llm.helpers import prose, same_as_sql
 
 SCHEMA = "capture_id long, kind string, url string, ts long, headers map<string,string>, source string, lane string, status string"
 
@@ -12,7 +13,10 @@ def captures(spark, rows):
     return spark.createDataFrame([(*r, "a", "b", "c") for r in rows], SCHEMA)
 
 
-def test_as_of_join_against_a_loop(spark):
+@pytest.mark.parametrize("span", [revisits.SPAN, 7, 1])
+def test_as_of_join_against_a_loop(spark, monkeypatch, span):
+    """However short the stretches that a URL is cut into."""
+    monkeypatch.setattr(revisits, "SPAN", span)
     r = random.Random(2)
     rows = []
     for k in range(400):
@@ -67,3 +71,7 @@ def test_canonical_urls(spark):
     urls = {"HTTPS://WWW.Example.org:443/A/?b=1&a=2&utm_source=x#y": "example.org/A?a=2&b=1", "http://example.org": "example.org", "example.org/?": "example.org", "http://m.example.org/x.html?ref=z": "m.example.org/x.html", "": ""}
     df = spark.createDataFrame([(u,) for u in urls], "u string").select("u", revisits.canonical_url(F.col("u")).alias("c"))
     assert {r["u"]: r["c"] for r in df.collect()} == urls
+
+
+def test_oracle_sql(spark):
+    assert same_as_sql(spark, "op6_revisits")
