@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All stages but the last
 return the columns of ``documents``; the last returns a row for each document with its bin. Rows without an id or a
-text are kept by every filter and are in no bin. ``run`` writes each stage's result as Parquet in the shared folder and
+text are kept by every filter and are in no bin. Empty texts are copies of each other, near duplicates of nothing, and an
+example of no tokens; texts of any length are read whole; of equal or alike documents (ties and repeated rows too) the least
+id stays, once; an empty table goes through as one; columns that clash in case with the ones used are left as they are. ``run`` writes each stage's result as Parquet in the shared folder and
 reads it back for the next, so a lost executor costs one stage's tasks at most.
 
 SQL can't express these stages (a fitted classifier, hashing by MinHash, alignment, greedy packing); ORACLE_SQL is None
