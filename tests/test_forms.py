@@ -80,9 +80,9 @@ def test_scripted_answers_and_circles(spark):
     df, _ = synth.generate(spark, f, CHOICES, 20, seed=1, provider=synth.scripted({"consent": "1", "age": 60}, synth.stochastic(1)))
     assert {(r["consent"], r["age"], r["late"]) for r in df.collect()} == {("1", 60, "x")}
     with pytest.raises(ValueError):
-        synth.generate(spark, f, CHOICES, 5, 1, synth.scripted({"consent": "7"}, synth.stochastic(1)))
+        synth.generate(spark, f, CHOICES, 5, 1, synth.scripted({"consent": "7"}, synth.stochastic(1), strict=True))
     with pytest.raises(ValueError):
-        synth.generate(spark, f, CHOICES, 5, 1, synth.scripted({"age": 5}, synth.stochastic(1)))
+        synth.generate(spark, f, CHOICES, 5, 1, synth.scripted({"age": 5}, synth.stochastic(1), strict=True))
     loop = form.compile_form([{"type": "calculate", "name": "a", "calculation": "${b}"}, {"type": "calculate", "name": "b", "calculation": "${a}"}, {"type": "integer", "name": "c", "relevance": "nope()"}])
     df, plan = synth.generate(spark, loop, {}, 5, 1)
     assert sorted(n for n, _ in plan.errors) == ["a", "b", "c"] and df.filter("a is not null or c is not null").count() == 0
