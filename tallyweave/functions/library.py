@@ -255,14 +255,13 @@ def _pi(a, ctx):
 
 @register("min", args=(1, None))
 def _min(a, ctx):
-    cols = [as_num(v) for v in a]
-    return num(F.least(*cols) if len(cols) > 1 else cols[0])
+    """Of several values; of one variable that isn't in a repeat it is no number (in one, the aggregate is joined before)."""
+    return num(F.least(*map(as_num, a)) if len(a) > 1 else F.lit(None).cast("double"))
 
 
 @register("max", args=(1, None))
 def _max(a, ctx):
-    cols = [as_num(v) for v in a]
-    return num(F.greatest(*cols) if len(cols) > 1 else cols[0])
+    return num(F.greatest(*map(as_num, a)) if len(a) > 1 else F.lit(None).cast("double"))
 
 
 @register("count", args=(1, 1))

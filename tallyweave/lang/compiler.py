@@ -85,6 +85,8 @@ def _call(node: Call, scope: Scope) -> Value:
         if node not in scope.lookups:
             raise ExpressionError("pulldata() needs its table joined first")
         return text(F.coalesce(scope.lookups[node], F.lit("")))
+    if node.name in ("min", "max") and len(node.args) == 1 and not isinstance(node.args[0], Ref):
+        return num(as_num(_value(node.args[0], scope)))  # a value by itself; of a variable outside repeats it is no number
     if node.name in ("choice-label", "jr:choice-name"):
         if len(node.args) != 2:
             raise ExpressionError(f"{node.name}() takes two arguments")

@@ -70,6 +70,7 @@ class Form:
     repeats: list[dict] = field(default_factory=list)
     errors: list[str] = field(default_factory=list)
     info: dict[str, int] = field(default_factory=dict)
+    outline: list[tuple[str, str, int, str]] = field(default_factory=list)  # (kind, name, depth, condition)
 
 
 def _label(row: dict) -> str:
@@ -101,6 +102,7 @@ def compile_form(sheet: list[dict]) -> Form:
                 form.repeats.append({"name": name, "path": [g.name for g in stack if g.repeat], "count": row.get("repeat_count", "")})
             else:
                 counts["groups"] += 1
+            form.outline.append((kind.split()[1], name, len(stack), row.get("relevance", "") or row.get("relevant", "")))
             stack.append(Group(name, _label(row), row.get("relevance", "") or row.get("relevant", ""), kind == "begin repeat"))
         elif kind in ("end group", "end repeat"):
             if not stack:
@@ -114,6 +116,7 @@ def compile_form(sheet: list[dict]) -> Form:
             counts["questions"] += 1
             order += 1
             form.questions.append(_record(name, kind, choice_list, row, stack, order, types))
+            form.outline.append((kind, name, len(stack), form.questions[-1]["relevance"]))
     form.errors += [f"{g.name} is never closed" for g in stack]
     form.info = counts
     return form
@@ -157,19 +160,11 @@ def repeats_frame(spark: SparkSession, form: Form) -> DataFrame:
 
 
 def structure_text(form: Form) -> str:
-    """An indented outline: groups and repeats with their conditions, questions under them."""
-    lines, before = [], []
-    for q in form.questions:
-        path = q["group_path"]
-        shared = 0
-        while shared < min(len(path), len(before)) and path[shared] == before[shared]:
-            shared += 1
-        for k in range(shared, len(path)):
-            mark = "repeat" if path[k] in q["repeat_path"] else "group"
-            lines.append("  " * k + f"[{mark}] {path[k]}")
-        condition = f" if {q['relevance']}" if q["relevance"] else ""
-        lines.append("  " * len(path) + f"- {q['variable_name']} ({q['type']}){condition}")
-        before = path
+    """An indented outline: groups and repeats with their conditions, empty ones too, questions under them."""
+    lines = []
+    for kind, name, depth, condition in form.outline:
+        shown = f" if {condition}" if condition else ""
+        lines.append("  " * depth + (f"[{kind}] {name}{shown}" if kind in ("group", "repeat") else f"- {name} ({kind}){shown}"))
     return "\n".join(lines) + "\n"
 
 

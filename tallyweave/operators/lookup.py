@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.operators.materialize import BROADCAST_BYTES
+from tallyweave.operators.materialize import written
 
 
 def normal_key(key: Column) -> Column:
@@ -22,9 +22,10 @@ def first_rows(table: DataFrame, key: str, columns: list[str], order: str) -> Da
     return table.groupBy(normal_key(F.col(key)).alias("_key")).agg(picked).select("_key", *(F.col(f"r.{c}").alias(c) for c in columns))
 
 
-def sized(table: DataFrame, row_bytes: int = 256) -> DataFrame:
-    """``table`` with a broadcast hint if its counted rows are small."""
-    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+def sized(table: DataFrame, name: str = "side") -> DataFrame:
+    """``table`` written once, so that its aggregate runs once and the optimizer knows its bytes: it broadcasts the side up
+    to spark.sql.autoBroadcastJoinThreshold and shuffles beyond."""
+    return written(table, name)
 
 
 def pulldata(df: DataFrame, table: DataFrame, key: Column, key_column: str, columns: dict[str, str], order: str) -> DataFrame:
@@ -46,6 +47,7 @@ def search_choices(df: DataFrame, table: DataFrame, value: str, label: str, matc
     """``df`` with the choices that ``search(..., 'matches', column, value)`` draws, the static ones after them.
 
     ``matches`` compares trimmed text. The table is grouped by its match columns first, so each row meets its list once.
+    Without ``matches`` every row gets the one list of the whole table.
     """
     fixed = F.array(*(F.struct(F.lit(v).alias("value"), F.lit(t).alias("label")) for v, t in sentinels)) if sentinels else None
     option = F.struct(F.col(order).alias("o"), F.col(value).cast("string").alias("value"), F.col(label).cast("string").alias("label"))
@@ -53,7 +55,7 @@ def search_choices(df: DataFrame, table: DataFrame, value: str, label: str, matc
     rows = F.transform(F.array_sort(F.collect_list(option)), lambda s: F.struct(s["value"].alias("value"), s["label"].alias("label")))
     lists = table.groupBy(*keys).agg(rows.alias("_found")) if keys else table.agg(rows.alias("_found"))
     out = df.withColumns({f"_m{k}": F.trim(F.coalesce(v.cast("string"), F.lit(""))) for k, (_, v) in enumerate(matches)})
-    out = out.join(sized(lists, 4096), [f"_m{k}" for k in range(len(matches))], "left") if matches else out.crossJoin(F.broadcast(lists))
+    out = out.join(sized(lists, "lists"), [f"_m{k}" for k in range(len(matches))], "left") if matches else out.crossJoin(sized(lists, "lists"))
     found = F.coalesce("_found", F.array().cast("array<struct<value:string,label:string>>"))
     return out.withColumn(name, F.concat(found, fixed) if fixed is not None else found).drop("_found", *(f"_m{k}" for k in range(len(matches))))
 

@@ -14,8 +14,8 @@ CODES = {code: (meaning, f".{meaning[0].lower()}") for code, meaning in zip(rang
 BATCH = 40
 
 
-def _batches(names: list[str]) -> list[list[str]]:
-    return [names[k : k + BATCH] for k in range(0, len(names), BATCH)] or [[]]
+def _batches(names: list[str], size: int = BATCH) -> list[list[str]]:
+    return [names[k : k + size] for k in range(0, len(names), size)] or [[]]
 
 
 def _plain(df: DataFrame, name: str) -> Column:
@@ -38,24 +38,39 @@ def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame
             aggregates += [F.count(x).alias(f"c{k}"), (F.min(shown) if ranged else F.lit(None).cast("double")).alias(f"lo{k}"), (F.max(shown) if ranged else F.lit(None).cast("double")).alias(f"hi{k}")]
         cells = [F.struct(F.lit(c).alias("variable"), F.col("n"), F.col(f"c{k}").alias("non_null"), F.col(f"lo{k}").alias("min_value"), F.col(f"hi{k}").alias("max_value")) for k, c in enumerate(names)]
         parts.append(df.agg(*aggregates).select(F.explode(F.array(*cells)).alias("s")).select("s.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = _united(parts, df, "")
     missing = F.col("n") - F.col("non_null")
     rate = F.when(F.col("n") > 0, F.round(missing / F.col("n"), 6)).otherwise(0.0)
     return out.select("variable", "n", "non_null", missing.alias("null_count"), rate.alias("missing_rate"), (F.col("non_null") == 0).alias("all_missing"), "min_value", "max_value")
 
 
 def sentinel_counts(df: DataFrame, columns: list[str], codes: list[int] | None = None) -> DataFrame:
-    """(variable, code, hits) of the special codes found, in numeric and in text columns; codes without hits are left out."""
-    wanted = [str(c) for c in (codes if codes is not None else sorted(CODES))]
-    cells = []
-    for c in columns:
-        x = _plain(df, c)
-        code = F.when(x == F.floor(x), F.floor(x).cast("string")) if isinstance(df.schema[c].dataType, T.NumericType) else x.cast("string")
-        cells.append(F.struct(F.lit(c).alias("variable"), code.alias("code")))
-    long = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*").filter(F.col("code").isin(wanted))
-    return long.groupBy("variable", "code").agg(F.count("*").alias("hits"))
+    """(variable, code, hits) of the special codes found, in numeric and in text columns; codes without hits are left out.
+
+    Conditional counts, one pass for each batch of columns; no cell becomes a row.
+    """
+    wanted = list(dict.fromkeys(codes if codes is not None else sorted(CODES)))
+    parts = []
+    for names in _batches(columns, max(1, BATCH // max(1, len(wanted)))):
+        counts, cells = [F.count("*").alias("n")], []
+        for k, c in enumerate(names):
+            x = _plain(df, c)
+            numeric = isinstance(df.schema[c].dataType, T.NumericType)
+            for j, code in enumerate(wanted):
+                counts.append(F.count_if((x == code) if numeric else (x.cast("string") == str(code))).alias(f"h{k}_{j}"))
+                cells.append(F.struct(F.lit(c).alias("variable"), F.lit(str(code)).alias("code"), F.col(f"h{k}_{j}").alias("hits")))
+        if cells:
+            parts.append(df.agg(*counts).select(F.explode(F.array(*cells)).alias("s")).select("s.*"))
+    return _united(parts, df, "variable string, code string, hits long").filter("hits > 0")
+
+
+def _united(parts: list[DataFrame], df: DataFrame, schema: str) -> DataFrame:
+    if not parts:
+        return df.sparkSession.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def sentinel_states(df: DataFrame, columns: dict[str, str], codes: list[int] | None = None) -> DataFrame:
@@ -87,15 +102,22 @@ def extended_missing_rule(x: Column) -> Column:
 
 
 def extended_missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(variable, letter, hits) of the columns that hold numbers with single letters for missing answers."""
-    cells = F.array(*(F.struct(F.lit(c).alias("variable"), F.trim(F.coalesce(F.col(c), F.lit(""))).alias("t")) for c in columns))
-    counts = df.select(F.explode(cells).alias("s")).select("s.*").filter("t <> ''")
-    letter, numeric = F.col("t").rlike("^[a-z]$"), F.col("t").rlike(NUMBER)
-    kind = counts.select("variable", F.when(letter, F.col("t")).alias("letter"), numeric.alias("numeric"))
-    per = kind.groupBy("variable", "letter").agg(F.count_if("numeric").alias("numbers"), F.count("*").alias("hits"))
-    whole = per.groupBy("variable").agg(F.sum(F.when(F.col("letter").isNull(), F.col("hits")).otherwise(0)).alias("plain"), F.sum("numbers").alias("numbers"))
-    good = whole.filter("numbers > 0 and plain = numbers").select("variable")
-    return per.filter("letter is not null").join(good, "variable", "left_semi").select("variable", "letter", "hits")
+    """(variable, letter, hits) of the columns that hold numbers with single letters for missing answers.
+
+    Which columns those are is one aggregate for each batch of columns, and their names come to the driver; their letters
+    are then counted, again by conditional counts.
+    """
+    good = []
+    for names in _batches(columns):
+        rule = df.agg(*(extended_missing_rule(F.col(f"`{c}`").cast("string")).alias(f"r{k}") for k, c in enumerate(names))).first() if names else ()
+        good += [c for c, holds in zip(names, rule) if holds]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    parts = []
+    for names in _batches(good, max(1, BATCH // 13)) if good else []:
+        cells = [(c, x, F.count_if(F.trim(F.col(f"`{c}`").cast("string")) == x).alias(f"l{k}_{x}"), f"l{k}_{x}") for k, c in enumerate(names) for x in letters]
+        made = F.array(*(F.struct(F.lit(c).alias("variable"), F.lit(x).alias("letter"), F.col(n).alias("hits")) for c, x, _, n in cells))
+        parts.append(df.agg(*(count for _, _, count, _ in cells)).select(F.explode(made).alias("s")).select("s.*"))
+    return _united(parts, df, "variable string, letter string, hits long").filter("hits > 0")
 
 
 def without_letters(x: Column) -> Column:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.operators.lookup import sized
-from tallyweave.operators.materialize import written
+from tallyweave.operators.materialize import BROADCAST_BYTES, written
 
 LEAST_SCORE = 0.01
 
@@ -39,57 +41,139 @@ def terms(text: Column) -> Column:
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, doc, score): the k best documents of each query by TF-IDF cosine.
+    """(query_id, doc, score, rank): the k best documents of each query by TF-IDF cosine.
 
     tf is a term's share of its text, idf ln((N+1)/(df+1)) + 1; scores under LEAST_SCORE are left out; ties go to the
-    smaller document. Norms need every term's idf, so each text is read once for them, in one shuffle by document and
-    one by term. ``queries`` has query_id and query.
+    smaller document. ``queries`` has query_id and query, both of whole numbers and text.
+
+    Document frequencies are one aggregate with partial ones before the shuffle. Where the measured vocabulary and the
+    queries fit BROADCAST_BYTES, they go to the executors and a second pass over the texts gives each task's k best of
+    each query; only those shuffle. Otherwise the weights of all terms are joined and grouped.
     """
-    rows = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("terms")).filter(F.size("terms") > 0)
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.transform(terms(F.col(text)), lambda t: F.xxhash64(t)).alias("terms")).filter(F.size("terms") > 0)
     n = docs.count()
-    tf = rows.select("doc", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("c")).select("doc", "term", (F.col("c") / F.col("len")).alias("tf"))
-    tf = written(tf, "tf")  # read by the counts, the weights and the norms, and dear to make
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = written(rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "df")
     idf = F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1
-    weights = tf.join(df, "term").select("doc", "term", (F.col("tf") * idf).alias("w"))
-    asked = queries.select("query_id", terms(F.col("query")).alias("t")).select("query_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.transform(terms(F.col("query")), lambda t: F.xxhash64(t)).alias("t")).select("query_id", F.size("t").alias("len"), F.explode("t").alias("term"))
     qtf = asked.groupBy("query_id", "len", "term").agg((F.count("*") / F.first("len")).alias("qtf"))
-    qw = qtf.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("qw"))
-    qnorm = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dot = weights.join(sized(qw, 128), "term").groupBy("doc", "query_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    norms = weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scored = dot.join(norms, "doc").join(sized(qnorm, 64), "query_id").select("query_id", "doc", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score")).filter(F.col("score") >= LEAST_SCORE)
+    qw = written(qtf.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("qw")), "qw")
+    if (df.count() * 16 + qw.count() * 24) <= BROADCAST_BYTES:
+        scored = _scored_in_place(rows, df.select("term", idf.alias("idf")), qw, k)
+    else:
+        scored = _scored_by_joins(rows, df.select("term", idf.alias("idf")), qw)
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("doc").alias(doc), F.round("score", 6).alias("score"), "rank")
 
 
+def _scored_by_joins(rows: DataFrame, idf: DataFrame, qw: DataFrame) -> DataFrame:
+    tf = rows.select("doc", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("c")).select("doc", "term", (F.col("c") / F.col("len")).alias("tf"))
+    weights = written(tf.join(idf, "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("w")), "weights")
+    qnorm = qw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    dot = weights.join(qw, "term").groupBy("doc", "query_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    norms = weights.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return dot.join(norms, "doc").join(qnorm, "query_id").select("query_id", "doc", (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score")).filter(F.col("score") >= LEAST_SCORE)
+
+
+def _scored_in_place(rows: DataFrame, idf: DataFrame, qw: DataFrame, k: int) -> DataFrame:
+    """Scores of each task's best documents. Documents and queries meet in blocks, as sparse rows against a table."""
+    spark = rows.sparkSession
+    vocabulary = idf.toArrow()
+    order = np.argsort(vocabulary["term"].to_numpy())
+    known, weight = vocabulary["term"].to_numpy()[order], vocabulary["idf"].to_numpy()[order]
+    q = qw.toArrow()
+    ids, at = np.unique(q["query_id"].to_numpy(), return_inverse=True)
+    norm = np.sqrt(np.bincount(at, q["qw"].to_numpy() ** 2, len(ids)))
+    by_term = np.argsort(q["term"].to_numpy(), kind="stable")
+    postings = (q["term"].to_numpy()[by_term], at[by_term], q["qw"].to_numpy()[by_term] / norm[at[by_term]] if len(at) else np.zeros(0))
+    shared = spark.sparkContext.broadcast((known, weight, ids, postings))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weight, ids, (q_term, q_at, q_weight) = shared.value
+        best_score = np.full((len(ids), k), -1.0)
+        best_doc = np.zeros((len(ids), k), dtype=np.int64)
+        width = 1024
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                docs, lists = part.column(0).to_numpy(), part.column(1)
+                lengths = np.diff(lists.offsets.to_numpy())
+                flat = lists.flatten().to_numpy()
+                owner = np.repeat(np.arange(len(docs)), lengths)
+                by = np.lexsort((flat, owner))
+                flat, owner = flat[by], owner[by]
+                start = np.flatnonzero(np.concatenate(([True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])))) if len(flat) else np.zeros(0, dtype=np.int64)
+                count = np.diff(np.concatenate((start, [len(flat)])))
+                term, row = flat[start], owner[start]
+                w = count / lengths[row] * weight[np.searchsorted(known, term)]
+                norms = np.sqrt(np.bincount(row, w * w, len(docs)))
+                lo, hi = np.searchsorted(q_term, term, "left"), np.searchsorted(q_term, term, "right")
+                n = hi - lo
+                hit = np.repeat(np.arange(len(term)), n)
+                post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+                for block in range(0, len(ids), width):
+                    mine = (q_at[post] >= block) & (q_at[post] < block + width)
+                    m = min(width, len(ids) - block)
+                    dot = np.bincount((q_at[post[mine]] - block) * len(docs) + row[hit[mine]], w[hit[mine]] * q_weight[post[mine]], m * len(docs)).reshape(m, len(docs)) / norms
+                    score = np.concatenate((best_score[block : block + m], dot), axis=1)
+                    doc = np.concatenate((best_doc[block : block + m], np.broadcast_to(docs, (m, len(docs)))), axis=1)
+                    top = np.lexsort((doc, -np.round(score, 9)), axis=1)[:, :k]
+                    best_score[block : block + m] = np.take_along_axis(score, top, 1)
+                    best_doc[block : block + m] = np.take_along_axis(doc, top, 1)
+        good = best_score >= LEAST_SCORE
+        if good.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], good.shape)[good]), pa.array(best_doc[good]), pa.array(best_score[good])], names=["query_id", "doc", "score"])
+
+    return rows.mapInArrow(scored, "query_id long, doc long, score double")
+
+
 def lookup(names: DataFrame, table: DataFrame, key: str, order: str) -> DataFrame:
     """A row for each wanted name: the first matching row of ``table``, or found = false."""
     first = table.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_rn = 1").drop("_rn")
     return names.join(first, key, "left").withColumn("found", F.col(order).isNotNull())
 
 
-def context(table: DataFrame, name: str, column: str, order: str, around: int) -> DataFrame:
-    """The row called ``name`` and its neighbours in order."""
-    at = table.filter(F.col(column) == name).agg(F.min(order).alias("_at"))
-    return table.crossJoin(F.broadcast(at)).filter(F.col(order).between(F.col("_at") - around, F.col("_at") + around)).drop("_at").orderBy(order)
+def context(table: DataFrame, names: DataFrame, column: str, order: str, around: int) -> DataFrame:
+    """(wanted, rows of ``table``): for each wanted name (the one column of ``names``) its first row and the neighbours in order.
 
+    ``order`` holds whole numbers. Each wanted place is 2 * around + 1 keys of an equi-join, so nothing is compared pairwise.
+    """
+    at = table.join(names.toDF("wanted").distinct(), F.col(column) == F.col("wanted")).groupBy("wanted").agg(F.min(order).alias("_at"))
+    keys = at.select("wanted", F.explode(F.sequence(F.col("_at") - around, F.col("_at") + around)).alias("_key"))
+    return table.join(keys, F.col(order) == F.col("_key")).select("wanted", *table.columns)
 
-def suggestions(table: DataFrame, column: str, wanted: str, most: int = 5) -> DataFrame:
-    """Names that contain the wanted one, lie in it or begin alike (5 letters), the nearest in length first."""
-    c, w = F.lower(F.col(column)), wanted.lower()
-    alike = c.contains(w) | F.lit(w).contains(c) | (F.substring(c, 1, 5) == w[:5])
-    return table.filter(alike).select(column).distinct().orderBy(F.abs(F.char_length(column) - len(w)), column).limit(most)
 
+def suggestions(table: DataFrame, column: str, wanted: DataFrame, most: int = 5) -> DataFrame:
+    """(wanted, name, rank): for each wanted name (the one column of ``wanted``) the names that contain it, lie in it or
+    begin alike (5 letters), whatever the case, the nearest in length first, then by name; ``most`` of them.
 
-def choice_list(choices: DataFrame, questions: DataFrame, name: str, shown: int = 50) -> DataFrame:
-    """One row: a list's options, its negative codes and the variables that use it (``shown`` of them, a report's limit)."""
-    options = choices.filter(F.col("list_name") == name).groupBy("list_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value", "label"))), lambda r: F.struct(r["value"].alias("value"), r["label"].alias("label"))).alias("choices"))
-    using = questions.filter(F.col("choice_list") == name).groupBy(F.col("choice_list").alias("list_name")).agg(F.count("*").alias("n_variables"), F.slice(F.array_sort(F.collect_list("variable_name")), 1, shown).alias("variables"))
+    Names are short: each stands with all its parts, so that containment is an equi-join and not every pair.
+    """
+    parts = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(c)), lambda a: F.transform(F.sequence(F.lit(1), F.char_length(c) - a + 1), lambda n: F.substring(c, a, n))))
+    names = table.select(F.col(column).alias("name"), F.lower(column).alias("low")).filter("low <> ''").distinct()
+    asked = wanted.toDF("wanted").select("wanted", F.lower("wanted").alias("low")).filter("low <> ''").distinct()
+    head = F.substring("low", 1, 5)
+    keyed = lambda df, name, keys: df.select(name, F.explode(F.array_distinct(keys)).alias("key"))
+    inside = keyed(names, "name", parts(F.col("low"))).join(asked.withColumnRenamed("low", "key"), "key")
+    around = names.withColumnRenamed("low", "key").join(keyed(asked, "wanted", parts(F.col("low"))), "key")
+    alike = names.withColumn("key", head).join(asked.select("wanted", head.alias("key")), "key")
+    met = inside.select("wanted", "name").unionByName(around.select("wanted", "name")).unionByName(alike.select("wanted", "name")).distinct()
+    nearest = Window.partitionBy("wanted").orderBy(F.abs(F.char_length("name") - F.char_length("wanted")), "name")
+    return met.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= most)
+
+
+def choice_lists_report(choices: DataFrame, questions: DataFrame, shown: int = 50) -> DataFrame:
+    """A row for each list: its options, negative codes and the variables that use it (``shown`` of them, a report's limit)."""
+    options = choices.groupBy("list_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value", "label"))), lambda r: F.struct(r["value"].alias("value"), r["label"].alias("label"))).alias("choices"))
+    using = questions.groupBy(F.col("choice_list").alias("list_name")).agg(F.count("*").alias("n_variables"), F.slice(F.array_sort(F.collect_list("variable_name")), 1, shown).alias("variables"))
     negative = F.filter(F.transform("choices", lambda c: c["value"]), lambda v: v.startswith("-"))
     return options.join(using, "list_name", "left").select("list_name", "choices", negative.alias("special_codes"), F.coalesce("n_variables", F.lit(0)).alias("n_variables"), "variables")
 
 
+def choice_list(choices: DataFrame, questions: DataFrame, name: str, shown: int = 50) -> DataFrame:
+    """One row: the report of the list called ``name``."""
+    return choice_lists_report(choices.filter(F.col("list_name") == name), questions.filter(F.col("choice_list") == name), shown)
+
+
 def surveys(table: DataFrame, column: str, part: str) -> DataFrame:
     """The rows whose survey key contains ``part``, whatever its case; all of them if it is blank."""
     return table.filter(F.lower(column).contains(part.lower())) if part else table

@@ -83,7 +83,8 @@ WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(replace(strip_accents(lo
      df AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY 1),
      w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN df USING (term)),
      norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
-     q(query_id, term, qtf) AS (VALUES (1, 'license', 0.5), (1, 'apache', 0.5), (2, 'trash', 1.0), (3, 'cion', 1.0)),
+     qt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(replace(strip_accents(lower(text)), 'ß', 'ss'), '[\\p{L}\\p{N}]{2,}')) AS term FROM benchmark),
+     q AS (SELECT query_id, term, count(*)::DOUBLE / any_value(n) AS qtf FROM qt JOIN (SELECT query_id, count(*) AS n FROM qt GROUP BY 1) c USING (query_id) GROUP BY 1, 2),
      qw AS (SELECT query_id, term, qtf * idf AS qw FROM q JOIN df USING (term)),
      qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM qw GROUP BY 1),
      s AS (SELECT query_id, doc_id, sum(w * qw) / any_value(norm) / any_value(qnorm) AS score FROM w JOIN qw USING (term) JOIN norms USING (doc_id) JOIN qn USING (query_id) GROUP BY 1, 2),
@@ -91,5 +92,6 @@ WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(replace(strip_accents(lo
 SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 10
 """)
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([(1, "License Apache"), (2, "trash"), (3, "ción")], "query_id int, query string")
+    """Every benchmark item is a query, against all documents; the best ten are the report."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return search.search(table(spark, sf_dir, "documents"), asked, 10)

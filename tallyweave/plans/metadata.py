@@ -137,12 +137,12 @@ def count_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey, c_name FROM (SELECT *, (SELECT min(c_custkey) FROM customer WHERE c_name = (SELECT min(c_name) FROM customer WHERE c_custkey = 50)) AS at FROM customer) c WHERE c_custkey BETWEEN at - 3 AND at + 3
-""".replace(" AS at ", " AS mid ").replace("at - 3", "mid - 3").replace("at + 3", "mid + 3"))
+SELECT w.c_name AS wanted, c.c_custkey, c.c_name FROM (SELECT c_name, min(c_custkey) AS mid FROM customer GROUP BY 1) w JOIN customer c ON c.c_custkey BETWEEN mid - 3 AND mid + 3
+""")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three rows before and after each customer."""
     c = table(spark, sf_dir, "customer")
-    name = c.filter("c_custkey = 50").agg(F.min("c_name")).first()[0]
-    return search.context(c, name, "c_name", "c_custkey", 3).select("c_custkey", "c_name")
+    return search.context(c.select("c_custkey", "c_name"), c.select("c_name"), "c_name", "c_custkey", 3)
 
 
 @query("""
@@ -164,22 +164,24 @@ def dictionary_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'l' || r_regionkey AS list_name, count(DISTINCT n_nationkey)::INTEGER AS n_choices, (SELECT count(*) FROM supplier JOIN nation b ON s_nationkey = b.n_nationkey WHERE b.n_regionkey = r_regionkey) AS n_variables
-FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey = 2 GROUP BY r_regionkey
+SELECT 'l' || n_regionkey AS list_name, count(*)::INTEGER AS n_choices, (SELECT count(*) FROM supplier JOIN nation b ON s_nationkey = b.n_nationkey WHERE b.n_regionkey = n.n_regionkey) AS n_variables FROM nation n GROUP BY n_regionkey
 """)
 def choice_list_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     sheet = n.select(F.concat(F.lit("l"), "n_regionkey").alias("list_name"), F.col("n_nationkey").cast("string").alias("value"), F.col("n_name").alias("label"), F.col("n_nationkey").alias("ord"))
     users = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("l"), "n_regionkey").alias("choice_list"), F.col("s_name").alias("variable_name"))
-    return search.choice_list(sheet, users, "l2").select("list_name", F.size("choices").alias("n_choices"), "n_variables")
+    return search.choice_lists_report(sheet, users).select("list_name", F.size("choices").alias("n_choices"), "n_variables")
 
 
 @query("""
-WITH c AS (SELECT DISTINCT n_name FROM nation WHERE contains(lower(n_name), 'nation_1') OR contains('nation_1', lower(n_name)) OR substr(lower(n_name), 1, 5) = 'natio')
-SELECT n_name FROM c ORDER BY abs(length(n_name) - 8), n_name LIMIT 5
+WITH n AS (SELECT DISTINCT n_name AS name, lower(n_name) AS low FROM nation), w AS (SELECT name AS wanted, low AS wl FROM n UNION SELECT s_name, lower(s_name) FROM supplier),
+     m AS (SELECT wanted, name, row_number() OVER (PARTITION BY wanted ORDER BY abs(length(name) - length(wanted)), name) AS rank FROM w, n WHERE contains(low, wl) OR contains(wl, low) OR substr(low, 1, 5) = substr(wl, 1, 5))
+SELECT wanted, name, rank::INTEGER AS rank FROM m WHERE rank <= 5
 """)
 def suggest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.suggestions(table(spark, sf_dir, "nation"), "n_name", "NATION_1")
+    """Nation names like each nation's and each supplier's; five of them are the report."""
+    n = table(spark, sf_dir, "nation").select("n_name")
+    return search.suggestions(n, "n_name", n.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("n_name"))))
 
 
 @query("""

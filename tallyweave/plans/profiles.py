@@ -28,14 +28,17 @@ _CODED = """coded AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN -99.0 WHEN even
 
 def _profile_sql() -> str:
     one = lambda t, c, lo, hi: f"SELECT '{c}' AS variable, count(*) AS n, count({c}) AS non_null, count(*) - count({c}) AS null_count, round((count(*) - count({c})) / count(*)::DOUBLE, 6) AS missing_rate, count({c}) = 0 AS all_missing, {lo}::DOUBLE AS min_value, {hi}::DOUBLE AS max_value FROM {t}"
-    numeric = [one("lineitem", c, f"min({c})", f"max({c})") for c in ("l_quantity", "l_extendedprice", "l_partkey")] + [one("coded", "score", "min(score)", "max(score)")]
-    return f"WITH {_CODED} " + " UNION ALL ".join([*numeric, one("lineitem", "l_returnflag", "NULL", "NULL"), one("lineitem", "l_shipdate", "floor(epoch(min(l_shipdate)))", "floor(epoch(max(l_shipdate)))")])
+    whole = [one("lineitem", c, f"min({c})", f"max({c})") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    whole += [one("lineitem", c, "NULL", "NULL") for c in ("l_returnflag", "l_linestatus")] + [one("lineitem", "l_shipdate", "floor(epoch(min(l_shipdate)))", "floor(epoch(max(l_shipdate)))")]
+    whole += [one("coded", c, f"min({c})", f"max({c})") for c in ("event_id", "user_id", "value", "score")] + [one("coded", c, "NULL", "NULL") for c in ("event_type", "props", "note", "mixed", "words")]
+    whole += [one("coded", "ts", "floor(epoch(min(ts)))", "floor(epoch(max(ts)))")]
+    return f"WITH {_CODED} " + " UNION ALL ".join(whole)
 
 
 @query(_profile_sql())
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = profile.column_profile(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_partkey", "l_returnflag", "l_shipdate"])
-    return lines.unionByName(profile.column_profile(_coded(spark, sf_dir), ["score"]))
+    """Every column of the lines and of the coded events."""
+    return profile.column_profile(table(spark, sf_dir, "lineitem")).unionByName(profile.column_profile(_coded(spark, sf_dir)))
 
 
 @query(f"""

@@ -84,27 +84,13 @@ def nested_repeat_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner.join(outer, "n_nationkey").select("n_nationkey", "c_custkey", "orders", F.round("spent", 2).alias("spent"), "nation_total", "nation_orders")
 
 
-@query(f"""
-WITH l AS (SELECT *, {_IDX} AS idx FROM lineitem)
-SELECT l_orderkey, max(CASE WHEN idx = 1 THEN l_quantity END) AS l_quantity_1, max(CASE WHEN idx = 1 THEN l_returnflag END) AS l_returnflag_1,
-       max(CASE WHEN idx = 2 THEN l_quantity END) AS l_quantity_2, max(CASE WHEN idx = 2 THEN l_returnflag END) AS l_returnflag_2,
-       max(CASE WHEN idx = 3 THEN l_quantity END) AS l_quantity_3, max(CASE WHEN idx = 3 THEN l_returnflag END) AS l_returnflag_3
-FROM l GROUP BY 1
-""")
-def wide_grid_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.grid(_lines(spark, sf_dir), ["l_orderkey"], "idx", ["l_quantity", "l_returnflag"], 3)
+def _grid_sql(field: str) -> str:
+    return f"(PIVOT (SELECT l_orderkey, '{field}_' || idx AS place, {field} FROM l) ON place USING first({field}) GROUP BY l_orderkey)"
 
 
-@query(f"""
-WITH l AS (SELECT *, {_IDX} AS idx FROM lineitem) SELECT l_orderkey, idx::INTEGER AS idx, l_quantity, l_returnflag FROM l WHERE idx <= 3
-""")
-def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.from_wide(wide_grid_pivot(spark, sf_dir), ["l_orderkey"], ["l_quantity", "l_returnflag"])
-
-
-@query()
-def wide_grid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid of all instances, as wide as the order with the most lines; its columns depend on the data, so it has no SQL."""
+@query(f"WITH l AS (SELECT *, {_IDX} AS idx FROM lineitem) SELECT * FROM {_grid_sql('l_quantity')} q JOIN {_grid_sql('l_returnflag')} f USING (l_orderkey)")
+def wide_grid_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid of all instances, as wide as the order with the most lines."""
     li = _lines(spark, sf_dir)
     return repeats.grid(li, ["l_orderkey"], "idx", ["l_quantity", "l_returnflag"], repeats.largest_count(li, ["l_orderkey"]))
 
@@ -112,13 +98,13 @@ def wide_grid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH l AS (SELECT *, {_IDX} AS idx FROM lineitem) SELECT l_orderkey, idx::INTEGER AS idx, l_quantity, l_returnflag FROM l
 """)
-def wide_to_long_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.from_wide(wide_grid_whole(spark, sf_dir), ["l_orderkey"], ["l_quantity", "l_returnflag"])
+def wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.from_wide(wide_grid_pivot(spark, sf_dir), ["l_orderkey"], ["l_quantity", "l_returnflag"])
 
 
 @query("SELECT max(n) AS largest FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)")
 def repeat_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").count().agg(F.max("count").alias("largest"))
+    return spark.createDataFrame([(repeats.largest_count(table(spark, sf_dir, "lineitem"), ["l_orderkey"]),)], "largest long")
 
 
 @query(f"""

@@ -66,8 +66,29 @@ def footer_profile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_dictionary(dictionary: DataFrame, path: str) -> None:
-    """One JSON record a variable, in order; what is null is left out."""
-    dictionary.orderBy("variable_order").coalesce(1).write.mode("overwrite").option("ignoreNullFields", True).json(path)
+    """A JSON array in one file, a record for each variable, in order; what is null is left out. ``Store`` reads it back.
+
+    A dictionary has as many rows as the export has columns, so it is collected.
+    """
+    rows = [json.loads(r[0]) for r in dictionary.orderBy("variable_order").select(F.to_json(F.struct("*"))).collect()]
+    Path(path).write_text(json.dumps(rows, ensure_ascii=False, indent=1), encoding="utf-8")
+
+
+def write_sidecar(df: DataFrame, path: str) -> DataFrame:
+    """The export as Parquet, read back; its footers give ``footer_profile`` without a scan."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_coverage(trace: DataFrame, path: str) -> dict[str, list[str]]:
+    """A coverage trace (gates.coverage) as Parquet under ``path``/cells and its summary as JSON; the variables never asked."""
+    from tallyweave.operators.gates import coverage_summary
+
+    trace.write.mode("overwrite").parquet(f"{path}/cells")
+    rows = [r.asDict() for r in coverage_summary(trace.sparkSession.read.parquet(f"{path}/cells")).orderBy("variable").collect()]
+    never = [r["variable"] for r in rows if r["never_asked"]]
+    Path(path, "coverage.json").write_text(json.dumps({"aggregate": rows, "never_asked": never}, indent=1), encoding="utf-8")
+    return {"never_asked": never}
 
 
 def write_dictionary_sheet(dictionary: DataFrame, path: str) -> None:

@@ -84,3 +84,40 @@ def search_arguments(appearance: str) -> dict | None:
         return None
     rest = args[2:]
     return {"table": table, "matches": [(rest[k].strip("'\""), rest[k + 1]) for k in range(0, len(rest) - 1, 2)]}
+
+
+class Attachments:
+    """Preload tables by file name, each read once and kept while it is used; a byte that isn't UTF-8 is replaced."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder, self.tables = spark, Path(folder), {}
+
+    def table(self, name: str) -> DataFrame | None:
+        """The table of the first file, by name, that is called ``name`` or begins so; None if there is none."""
+        stem = name.removesuffix(".csv")
+        if stem not in self.tables:
+            file = next(iter(sorted(f for f in self.folder.glob("*.csv") if f.stem.startswith(stem))), None)
+            self.tables[stem] = read_table(self.spark, str(file)).persist() if file else None
+        return self.tables[stem]
+
+    def close(self) -> None:
+        for t in self.tables.values():
+            if t is not None:
+                t.unpersist()
+        self.tables.clear()
+
+
+def static_choices(appearance: str, value: str, label: str, attachments: Attachments) -> DataFrame | None:
+    """(value, label) in file order of a search() whose filters are literals; None if it needs a row's answers or a table.
+
+    ``value`` and ``label`` are the columns that the choice sheet names. Filters on columns that aren't there match nothing.
+    """
+    asked = search_arguments(appearance)
+    if asked is None or any("${" in v for _, v in asked["matches"]):
+        return None
+    t = attachments.table(asked["table"])
+    if t is None or value not in t.columns or label not in t.columns:
+        return None
+    for column, v in asked["matches"]:
+        t = t.filter(F.trim(F.coalesce(F.col(f"`{column}`"), F.lit(""))) == v.strip().strip("'\"").strip()) if column in t.columns else t.limit(0)
+    return t.orderBy("_ord").select(F.col(f"`{value}`").alias("value"), F.col(f"`{label}`").alias("label"))

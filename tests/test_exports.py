@@ -25,9 +25,9 @@ def test_footers(spark):
 
 def test_dictionary_and_graph(spark, tmp_path):
     d = spark.createDataFrame([(2, "b", None, [("1", "One")]), (1, "a", "text", None)], "variable_order int, variable_name string, question_type string, choices array<struct<value:string,label:string>>")
-    exports.write_dictionary(d, str(tmp_path / "d"))
-    (part,) = [f for f in os.listdir(tmp_path / "d") if f.endswith(".json")]
-    assert [json.loads(x) for x in (tmp_path / "d" / part).read_text().splitlines()] == [{"variable_order": 1, "variable_name": "a", "question_type": "text"}, {"variable_order": 2, "variable_name": "b", "choices": [{"value": "1", "label": "One"}]}]
+    exports.write_dictionary(d, str(tmp_path / "d.json"))
+    assert exports.Store(spark, str(tmp_path / "d.json"), d.schema).current().orderBy("variable_order").collect() == d.orderBy("variable_order").collect()
+    assert json.loads((tmp_path / "d.json").read_text()) == [{"variable_order": 1, "variable_name": "a", "question_type": "text"}, {"variable_order": 2, "variable_name": "b", "choices": [{"value": "1", "label": "One"}]}]
     exports.write_dictionary_sheet(d, str(tmp_path / "d.xlsx"))
     assert [r["choices"] for r in sheets.read_xlsx(str(tmp_path / "d.xlsx"))["dictionary"]] == ["", "1=One"]
     exports.write_graph(d.select("variable_name"), spark.createDataFrame([("a", "b", "gated_by")], "src string, dst string, kind string"), str(tmp_path / "g"))

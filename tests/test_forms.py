@@ -32,7 +32,8 @@ def test_fold():
     assert q["off"]["disabled"] and not q["age"]["disabled"]
     assert q["age"]["constraint_text"] == "age >= 18 & !missing(age) & age < 90" and q["colors"]["condition_text"] == "consent == 1"
     assert f.errors == [] and f.info == {"rows": 12, "groups": 1, "repeats": 1, "questions": 7}
-    assert "  [repeat] plot" in form.structure_text(f)
+    assert "  [repeat] plot if ${age} > 20\n    - area (decimal) if ${late} != 'x'\n" in form.structure_text(f) and "[group] main if ${consent} = '1'\n" in form.structure_text(f)
+    assert "[group] none" in form.structure_text(form.compile_form([{"type": "begin group", "name": "none"}, {"type": "end group"}]))
 
 
 def test_fold_reports_mismatches():

@@ -104,4 +104,5 @@ def test_search_folds_accents_and_breaks_ties(spark):
     q = spark.createDataFrame([(1, "âge"), (2, "STRASSE"), (3, "nothing")], "query_id int, query string")
     assert collected(search.search(docs, q, 5), "query_id", "doc_id", "rank") == [(1, 1, 1), (1, 2, 2), (2, 3, 1)]
     names = spark.createDataFrame([("income_total",), ("income",), ("outcome",), ("other",)], "n string")
-    assert [r["n"] for r in search.suggestions(names, "n", "incom").collect()] == ["income", "income_total"]
+    asked = spark.createDataFrame([("incom",), ("come_tot",), ("Others",)], "w string")
+    assert collected(search.suggestions(names, "n", asked), "wanted", "name", "rank") == [("Others", "other", 1), ("come_tot", "income_total", 1), ("incom", "income", 1), ("incom", "income_total", 2)]

@@ -13,7 +13,7 @@ def test_wide_grid_holds_every_instance(spark):
         lines[r["l_orderkey"]].append((*(r[c] for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")), r["l_quantity"], r["l_returnflag"]))
     size = max(map(len, lines.values()))
     want = {k: [x for v in sorted(rows) for x in v[-2:]] + [None] * 2 * (size - len(rows)) for k, rows in lines.items()}
-    got = queries()["wide_grid_whole"](spark, SF)
+    got = queries()["wide_grid_pivot"](spark, SF)
     assert got.columns == ["l_orderkey", *(f"{f}_{k}" for k in range(1, size + 1) for f in ("l_quantity", "l_returnflag"))]
     assert {r[0]: list(r[1:]) for r in got.collect()} == want and size > 3
-    assert queries()["wide_to_long_whole"](spark, SF).count() == sum(map(len, lines.values()))
+    assert queries()["wide_to_long"](spark, SF).count() == sum(map(len, lines.values()))
