@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.lang.conditions import Target, condition_text
+from tallyweave.lang.conditions import Target, condition_text, inherited
 from tallyweave.operators import profile, resolve
 from tallyweave.operators.materialize import written
 
@@ -56,7 +56,8 @@ def _code_and_numbers(df: DataFrame) -> DataFrame:
 
 
 def specific_conditions(spark: SparkSession, questions: list[dict], wanted: list[tuple[str, int]]) -> DataFrame:
-    """(question, iteration, condition_specific, group_conditions_specific): conditions as they read in one instance.
+    """(question, iteration, condition_specific, group_conditions_specific): conditions as they read in one instance, the
+    first with those of the groups around.
 
     Variables of the question's own repeat are suffixed, ``index()`` is the number. The printing is done on the driver,
     once for each question and instance number that the export has.
@@ -73,7 +74,7 @@ def specific_conditions(spark: SparkSession, questions: list[dict], wanted: list
         if q is None:
             continue
         target = Target(types, iteration=k, repeated=frozenset(inside.get(q["repeat"], ())))
-        rows.append((name, k, condition_text(q["relevance"], target), [t for g in q["group_relevances"] if (t := condition_text(g, target))]))
+        rows.append((name, k, inherited(q["group_relevances"], q["relevance"], target), [t for g in q["group_relevances"] if (t := condition_text(g, target))]))
     return spark.createDataFrame(rows, "question string, iteration int, condition_specific string, group_conditions_specific array<string>")
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("expressions", "lookups", "repeats", "profiles", "metadata", "generated")
+MODULES = ("expressions", "lookups", "repeats", "profiles", "metadata", "generated", "surveys")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
