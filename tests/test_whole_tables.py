@@ -1,7 +1,13 @@
 """Queries that cover all rows of their tables, by brute force."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+from pandas.util import hash_array
+from pyspark.sql import functions as F
+
+from tallyweave.operators import materialize, search
 from tallyweave.plans.registry import queries
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +23,25 @@ def test_wide_grid_holds_every_instance(spark):
     assert got.columns == ["l_orderkey", *(f"{f}_{k}" for k in range(1, size + 1) for f in ("l_quantity", "l_returnflag"))]
     assert {r[0]: list(r[1:]) for r in got.collect()} == want and size > 3
     assert queries()["wide_to_long"](spark, SF).count() == sum(map(len, lines.values()))
+
+
+def test_search_gives_the_same_whatever_fits(spark, monkeypatch):
+    """Rare terms that aren't broadcast, queries in several blocks: the same rows as with all terms known."""
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = lambda: sorted(tuple(r) for r in search.search(docs, asked, 4).collect())
+    want = found()
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 4_000)
+    written = []
+    monkeypatch.setattr(search, "written", lambda df, name: written.append(name) or materialize.written(df, name))
+    assert found() == want and len(want) > 100 and written == ["df", "qw"]
+
+
+def test_search_terms_are_those_of_the_column(spark):
+    """Marks, letters that fold to two, digits, underscores, nulls and blanks: as many terms as ``terms`` gives, equal where it has equal ones."""
+    texts = ["Âge de l'enfant", "âge DE_enfant", "straße STRASSE ß", "x1 e\u0301 12_3", "Ωmega Ωmega", "", None, "ſo SO", "é b"]
+    row, term, count = search._bags(pa.array(texts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", search.terms(F.col("t"))).collect()
+    want = {(k, t): c for k, terms in rows for t, c in Counter(terms).items()}
+    hashes = dict(zip((t for _, t in sorted(want)), hash_array(np.array([t for _, t in sorted(want)], dtype=object), categorize=False).view(np.int64).tolist()))
+    assert dict(zip(zip(row.tolist(), term.tolist()), count.tolist())) == {(k, hashes[t]): c for (k, t), c in want.items()} and len(want) > 10
