@@ -4,10 +4,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pandas.util import hash_array
 from pyspark.sql import functions as F
 
-from tallyweave.operators import materialize, search
+from tallyweave.operators import materialize, search, stats
 from tallyweave.plans.registry import queries
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +46,17 @@ def test_search_terms_are_those_of_the_column(spark):
     want = {(k, t): c for k, terms in rows for t, c in Counter(terms).items()}
     hashes = dict(zip((t for _, t in sorted(want)), hash_array(np.array([t for _, t in sorted(want)], dtype=object), categorize=False).view(np.int64).tolist()))
     assert dict(zip(zip(row.tolist(), term.tolist()), count.tolist())) == {(k, hashes[t]): c for (k, t), c in want.items()} and len(want) > 10
+
+
+def test_quarters_are_found_in_ranges(spark):
+    """Values in many ranges, with ties, nulls, NaN and a group without values: as by sorting; no task holds all values of a variable."""
+    rows = [(k % 3, float(k * 7919 % 1009) / 8, -5.0 if k % 4 else float(k)) for k in range(4_000)] + [(1, None, float("nan")), (2, -0.0, None)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    with materialize.session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        made = stats.tabstat(df, {"x": "${g} > 0", "y": "", "g": "${g} > 7"})
+        got = {r["variable"]: r for r in made.collect()}
+    assert "percentile(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    for name, values in (("x", [r[1] for r in rows if r[0] > 0 and r[1] is not None]), ("y", [r[2] for r in rows if r[2] is not None])):
+        v, at = np.sort(values), [(len(values) - 1) * p for p in (0.25, 0.5, 0.75)]  # NaN is last
+        assert got[name]["n"] == len(values) and [got[name][c] for c in ("p25", "p50", "p75")] == pytest.approx([v[int(a)] + (a - int(a)) * (v[int(np.ceil(a))] - v[int(a)]) for a in at])
+    assert (got["g"]["n"], got["g"]["p25"], got["g"]["p50"], got["g"]["max"]) == (0, None, None, None)
