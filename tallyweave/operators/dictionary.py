@@ -1,7 +1,7 @@
 """The variable dictionary: one record for each export column, from columns, questions and the profile of the data.
 
 Columns, questions and choices are metadata: thousands of rows however large the export. They are joined as frames; the
-data itself is only aggregated (its profile and special codes).
+data itself is written once, by columns, and only aggregated (its profile and special codes).
 """
 
 from __future__ import annotations
@@ -87,6 +87,8 @@ def assembled(df: DataFrame, questions: DataFrame, choices: DataFrame | None = N
     """
     spark = df.sparkSession
     columns = written(export_columns(df), "columns")
+    # each of the passes below then reads its own columns and doesn't make the export again
+    df = written(df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"}), "export")
     q = written(questions, "questions")
     first = Window.partitionBy("variable_name").orderBy("question_order")
     single = q.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(F.col("variable_name").alias("question"), F.col("type").alias("question_type"), *FROM_QUESTION)

@@ -65,10 +65,10 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "idx"
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def grid(df: DataFrame, keys: list[str], index: str, fields: list[str], size: int) -> DataFrame:
-    """The rectangular wide form: ``field_1 … field_size`` for each key, by one aggregate."""
+def grid(df: DataFrame, keys: list[str], index: str, fields: list[str], size: int, more: dict[str, Column] | None = None) -> DataFrame:
+    """The rectangular wide form: ``field_1 … field_size`` for each key, by one aggregate, then ``more`` aggregates."""
     cells = [indexed(F.col(index), k, F.col(f)).alias(f"{f}_{k}") for k in range(1, size + 1) for f in fields]
-    return df.groupBy(*keys).agg(*cells)
+    return df.groupBy(*keys).agg(*cells, *(c.alias(n) for n, c in (more or {}).items()))
 
 
 def largest_count(df: DataFrame, keys: list[str]) -> int:

@@ -31,10 +31,10 @@ def _order_form() -> form.Form:
 def _order_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An export of orders: the grid of all lines, a multiple answer's indicators and a column no question knows."""
     li = _lines(spark, sf_dir)
-    wide = repeats.grid(li, ["l_orderkey"], "idx", ["l_quantity", "l_returnflag"], repeats.largest_count(li, ["l_orderkey"]))
-    count = li.groupBy("l_orderkey").agg(F.count("*").alias("line_count"))
+    size = repeats.largest_count(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
+    wide = repeats.grid(li, ["l_orderkey"], "idx", ["l_quantity", "l_returnflag"], size, {"line_count": F.count("*")})
     coded = F.when(F.col("l_orderkey") % 10 == 0, -99).otherwise((F.col("l_orderkey") % 2).cast("int"))
-    return wide.join(count, "l_orderkey").withColumns({"seen_1": coded, "seen__99": F.when(F.col("l_orderkey") % 3 > 0, 0), "stray": F.lit(None).cast("string")})
+    return wide.withColumns({"seen_1": coded, "seen__99": F.when(F.col("l_orderkey") % 3 > 0, 0), "stray": F.lit(None).cast("string")})
 
 
 def _order_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:

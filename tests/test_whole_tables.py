@@ -8,7 +8,7 @@ import pytest
 from pandas.util import hash_array
 from pyspark.sql import functions as F
 
-from tallyweave.operators import materialize, search, stats
+from tallyweave.operators import dictionary, form, materialize, search, stats
 from tallyweave.plans.registry import queries
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +60,14 @@ def test_quarters_are_found_in_ranges(spark):
         v, at = np.sort(values), [(len(values) - 1) * p for p in (0.25, 0.5, 0.75)]  # NaN is last
         assert got[name]["n"] == len(values) and [got[name][c] for c in ("p25", "p50", "p75")] == pytest.approx([v[int(a)] + (a - int(a)) * (v[int(np.ceil(a))] - v[int(a)]) for a in at])
     assert (got["g"]["n"], got["g"]["p25"], got["g"]["p50"], got["g"]["max"]) == (0, None, None, None)
+
+
+def test_dictionary_makes_the_export_once(spark, tmp_path):
+    """Each pass reads the written export, not its source; a column without a type is missing throughout."""
+    spark.createDataFrame([(1, -99), (2, 7)], "age int, size int").write.parquet(str(tmp_path / "source"))
+    export = spark.read.parquet(str(tmp_path / "source")).withColumn("nothing", F.lit(None))
+    made = dictionary.assembled(export, form.questions_frame(spark, form.compile_form([{"type": "integer", "name": "age"}, {"type": "integer", "name": "size"}])))
+    got = {r["variable_name"]: r for r in made.collect()}
+    assert not any("/source/" in f for f in made.inputFiles())
+    assert [tuple(x) for x in got["size"]["sentinels"]] == [("-99", 1)] and (got["age"]["max_value"], got["age"]["non_null"]) == (2.0, 2)
+    assert (got["nothing"]["all_missing"], got["nothing"]["storage_type"], got["nothing"]["min_value"]) == (True, "void", None)
