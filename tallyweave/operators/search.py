@@ -99,7 +99,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int, doc: str = "doc_id", tex
     tf is a term's share of its text, idf ln((N+1)/(df+1)) + 1; scores under LEAST_SCORE are left out; ties go to the
     smaller document. ``queries`` has query_id and query, both of whole numbers and text; ``doc`` is a key.
 
-    The texts are read twice, and nothing of their size is written or shuffled, whatever the vocabulary. The first pass
+    The texts are read twice; the vocabulary is written and kept documents shuffle, with their rare terms. The first pass
     counts documents by term. In the second each task scores its documents and keeps those that may be among the k best
     of a query; only those shuffle. Of the vocabulary the commonest terms go to the executors, as many as fit
     BROADCAST_BYTES; the others, which bound a document's norm from both sides, travel with the documents that are kept
